@@ -5,13 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnledger.llm.crosssplit import coverage, cross_split_pairs, prompts_of
 from turnledger.llm.encoding import encode_texts
 from turnledger.llm.leakage import leaked_passages
+from turnledger.llm.spans import shared_spans
 from turnledger.session import table
 
 
+def _generations(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "trace").where(F.col("record_type") == "generation").select("trace_id", "sequence", "session_id", "input_ids", "output_ids")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(_generations(spark, folder), ids=["trace_id", "sequence"], owner="session_id", arrays=["input_ids", "output_ids"])
+
+
+def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per record and array with a shared stretch: tokens, shared tokens and stretches."""
+    lengths = _generations(spark, folder).select(
+        "trace_id", "sequence", F.explode(F.array(*(F.struct(F.lit(c).alias("array_name"), F.size(c).alias("n_tokens")) for c in ("input_ids", "output_ids")))).alias("z")
+    )
+    lengths = lengths.select("trace_id", "sequence", "z.array_name", "z.n_tokens").distinct()
+    found = p2_found(spark, folder).groupBy("trace_id", "sequence", "array_name").agg(
+        F.sum(F.col("span_end") - F.col("span_start")).alias("shared_tokens"), F.count("*").alias("n_spans")
+    )
+    return lengths.join(found, ["trace_id", "sequence", "array_name"]).withColumn("share", F.col("shared_tokens") / F.col("n_tokens"))
+
+
+_SAMPLE = {"index": "index", "split": "split", "tokens": "tokens", "response_length": "response_length"}
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split_pairs(table(spark, folder, "rollout_samples"), **_SAMPLE)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select(F.least("held", "train").alias("index_a"), F.greatest("held", "train").alias("index_b")).distinct()
+
+
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out samples with a training counterpart, and such pairs, per split and source."""
+    samples = table(spark, folder, "rollout_samples").select(F.col("index").alias("held"), "split", "source").distinct()
+    by_sample = _pairs(spark, folder).groupBy("held").agg(F.count("*").alias("pairs"))
+    return by_sample.join(samples, "held").groupBy("split", "source").agg(F.count("*").alias("n_samples"), F.sum("pairs").alias("n_pairs"))
+
+
+def p5_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Per held-out sample: prompt tokens, and those in spans of 8 or more tokens that a training prompt has too."""
+    prompts = prompts_of(table(spark, folder, "rollout_samples"), held_out=("eval", "test"), train="train", **_SAMPLE)
+    return prompts.where(~F.col("side")).select("index", "key").join(coverage(prompts), "key").select("index", "n_tokens", "covered").distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_texts(table(spark, folder, "documents").select("doc_id", "text"), text="text").distinct()
+    return encode_texts(table(spark, folder, "documents").select("doc_id", "text"), text="text")
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,9 +74,39 @@ def p7_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).withColumnsRenamed({"document": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+
+_SPANS = """
+g AS (SELECT DISTINCT trace_id, sequence, session_id, input_ids, output_ids FROM trace WHERE record_type = 'generation'),
+a AS (SELECT trace_id, sequence, session_id, 'input_ids' AS array_name, input_ids AS v FROM g UNION ALL
+      SELECT trace_id, sequence, session_id, 'output_ids', output_ids FROM g),
+r AS (SELECT trace_id, sequence, session_id, array_name, i, md5(v[i + 1:i + 32]::VARCHAR) AS r FROM (SELECT *, unnest(range(0, len(v) - 31)) AS i FROM a)),
+s AS (SELECT r FROM r GROUP BY r HAVING count(DISTINCT session_id) > 1),
+h AS (SELECT trace_id, sequence, array_name, i, lag(i) OVER w AS before FROM (SELECT * FROM r WHERE r IN (SELECT r FROM s)) WINDOW w AS (PARTITION BY trace_id, sequence, array_name ORDER BY i)),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 32 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, sequence, array_name ORDER BY i) AS k FROM h),
+f AS (SELECT trace_id, sequence, array_name, CAST(min(i) AS INTEGER) AS span_start, CAST(max(i) + 32 AS INTEGER) AS span_end FROM n GROUP BY trace_id, sequence, array_name, k)
+"""
+_PAIRS = """
+u AS (SELECT DISTINCT index, split, source, tokens[1:len(tokens) - response_length] AS p FROM rollout_samples
+  WHERE split IN ('train', 'eval', 'test') AND tokens IS NOT NULL AND response_length >= 0 AND len(tokens) - response_length > 0),
+q AS (SELECT DISTINCT p, md5(p::VARCHAR) AS k FROM u),
+g AS (SELECT DISTINCT k, p[i:i + 3] AS r FROM (SELECT k, p, unnest(range(1, len(p) - 2)) AS i FROM q)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+s AS (SELECT DISTINCT md5(p::VARCHAR) AS k, split = 'train' AS train FROM u),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.r = b.r WHERE a.k IN (SELECT k FROM s WHERE NOT train) AND b.k IN (SELECT k FROM s WHERE train) GROUP BY 1, 2),
+f AS (SELECT c.a, c.b FROM c JOIN n x ON x.k = c.a JOIN n y ON y.k = c.b WHERE c.c >= 0.6 * (x.n + y.n - c.c)),
+m AS (SELECT DISTINCT h.index AS held, h.split, h.source, t.index AS train
+  FROM f JOIN u h ON md5(h.p::VARCHAR) = f.a AND h.split <> 'train' JOIN u t ON md5(t.p::VARCHAR) = f.b AND t.split = 'train')
+"""
 
 ORACLE = {
+    "p2_found": f"WITH {_SPANS} SELECT * FROM f",
+    "p2_shares": f"""WITH {_SPANS}
+SELECT f.trace_id, f.sequence, f.array_name, any_value(len(a.v)) AS n_tokens, CAST(sum(span_end - span_start) AS BIGINT) AS shared_tokens, count(*) AS n_spans,
+  sum(span_end - span_start) / any_value(len(a.v)) AS share
+FROM f JOIN a ON a.trace_id = f.trace_id AND a.sequence = f.sequence AND a.array_name = f.array_name GROUP BY ALL""",
+    "p5_found": f"WITH {_PAIRS} SELECT DISTINCT least(held, train) AS index_a, greatest(held, train) AS index_b FROM m",
+    "p5_counts": f"WITH {_PAIRS} SELECT split, source, count(DISTINCT held) AS n_samples, count(*) AS n_pairs FROM m GROUP BY ALL",
     "p7_found": """
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w FROM eval_items WHERE text IS NOT NULL),
