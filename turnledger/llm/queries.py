@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnledger.llm.crosssplit import coverage, cross_split_pairs, prompts_of
 from turnledger.llm.encoding import encode_texts
 from turnledger.llm.leakage import leaked_passages
+from turnledger.llm.packing import length_buckets, pack, pieces_of
 from turnledger.llm.spans import shared_spans
 from turnledger.session import table
 
@@ -32,6 +33,44 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.join(found, ["trace_id", "sequence", "array_name"]).withColumn("share", F.col("shared_tokens") / F.col("n_tokens"))
 
 
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each usable feature once, with its run's width: input_ids not empty, labels of their length, a run with a width."""
+    rows = table(spark, folder, "features").where((F.size("input_ids") > 0) & (F.size("labels") == F.size("input_ids")))
+    once = rows.groupBy("feature_id").agg(F.min(F.struct("run_id", F.size("input_ids").alias("size"))).alias("f"))
+    widths = table(spark, folder, "run_result").groupBy("run_id").agg(F.max("width").alias("capacity")).where(F.col("capacity") > 0)
+    items = once.select(F.col("f.run_id").alias("run_id"), F.col("feature_id").alias("item"), "f.size").join(widths, "run_id")
+    return items.withColumnRenamed("run_id", "group")
+
+
+def p3_containers(spark: SparkSession, folder: str) -> DataFrame:
+    names = {"group": "run_id", "item": "feature_id", "start": "piece_start", "length": "piece_length"}
+    return pack(_items(spark, folder)).withColumnsRenamed(names)
+
+
+def p3_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per run: containers, tokens, pieces and the share of the containers' space that is used."""
+    width = _items(spark, folder).select(F.col("group").alias("run_id"), "capacity").distinct()
+    by_run = p3_containers(spark, folder).groupBy("run_id").agg(
+        (F.max("container") + 1).alias("n_containers"), F.sum("piece_length").alias("n_tokens"), F.count("*").alias("n_pieces")
+    )
+    return by_run.join(width, "run_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces that must be placed, per run: their number, tokens and longest."""
+    return pieces_of(_items(spark, folder)).groupBy(F.col("group").alias("run_id")).agg(
+        F.count("*").alias("n_pieces"), F.sum("length").alias("n_tokens"), F.max("length").alias("longest")
+    )
+
+
+def p3_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The twelve length buckets that pad all pieces least."""
+    counts = sorted((r["length"], r["count"]) for r in pieces_of(_items(spark, folder)).groupBy("length").count().collect())
+    bounds, _ = length_buckets([x for x, _ in counts], [n for _, n in counts], 12)
+    rows = [(i, b, sum(n for x, n in counts if (bounds[i - 1] if i else 0) < x <= b), sum((b - x) * n for x, n in counts if (bounds[i - 1] if i else 0) < x <= b)) for i, b in enumerate(bounds)]
+    return spark.createDataFrame(rows, "bucket int, upper_length bigint, n_pieces bigint, padding bigint")
+
+
 _SAMPLE = {"index": "index", "split": "split", "tokens": "tokens", "response_length": "response_length"}
 
 
@@ -74,7 +113,7 @@ def p7_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).withColumnsRenamed({"document": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_containers": p3_containers, "p3_fill": p3_fill, "p3_pieces": p3_pieces, "p3_buckets": p3_buckets, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
 
 _SPANS = """
 g AS (SELECT DISTINCT trace_id, sequence, session_id, input_ids, output_ids FROM trace WHERE record_type = 'generation'),
@@ -105,6 +144,11 @@ ORACLE = {
 SELECT f.trace_id, f.sequence, f.array_name, any_value(len(a.v)) AS n_tokens, CAST(sum(span_end - span_start) AS BIGINT) AS shared_tokens, count(*) AS n_spans,
   sum(span_end - span_start) / any_value(len(a.v)) AS share
 FROM f JOIN a ON a.trace_id = f.trace_id AND a.sequence = f.sequence AND a.array_name = f.array_name GROUP BY ALL""",
+    "p3_pieces": """
+WITH f AS (SELECT feature_id, min(struct_pack(r := run_id, n := len(input_ids))) AS f FROM features WHERE len(input_ids) > 0 AND len(labels) = len(input_ids) GROUP BY feature_id),
+w AS (SELECT run_id, max(width) AS w FROM run_result GROUP BY run_id HAVING max(width) > 0)
+SELECT run_id, CAST(sum(ceil(f.n / w)) AS BIGINT) AS n_pieces, CAST(sum(f.n) AS BIGINT) AS n_tokens, CAST(max(least(f.n, w)) AS BIGINT) AS longest
+FROM f JOIN w ON f.r = w.run_id GROUP BY run_id""",
     "p5_found": f"WITH {_PAIRS} SELECT DISTINCT least(held, train) AS index_a, greatest(held, train) AS index_b FROM m",
     "p5_counts": f"WITH {_PAIRS} SELECT split, source, count(DISTINCT held) AS n_samples, count(*) AS n_pairs FROM m GROUP BY ALL",
     "p7_found": """

@@ -28,7 +28,7 @@ SPAN = 32
 #: Independent hash functions that make up a signature: more hashes, fewer accidental meetings, more windows.
 HASHES = 1
 #: Shared signatures (8 bytes) or runs (16 bytes) up to which every task gets them all; beyond, they are joined.
-SENT = 4_000_000
+SENT = 2_000_000
 
 
 def signatures(x: np.ndarray, span: int, hashes: int) -> np.ndarray:
@@ -215,6 +215,10 @@ def _marked(span: int, n_ids: int, shared):
     return run
 
 
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in column.chunks)]).view(np.uint64)
+
+
 def _renamed(run, names: Sequence[str]):
     def renamed(batches):
         for batch in run(batches):
@@ -245,7 +249,7 @@ def shared_spans(df: DataFrame, *, ids: Sequence[str], owner: str, arrays: Seque
     met = written(met, "signatures")
     stretch = T.StructType([*fields[:n], T.StructField("__owner", long), *fields[n:], T.StructField("start", int_), T.StructField("tokens", T.ArrayType(long))])
     if met.count() <= sent:
-        known = np.sort(np.array([r[0] for r in met.collect()], dtype=np.int64).view(np.uint64))
+        known = np.sort(_longs(met.toArrow().column(0)))
         cut = rows.mapInArrow(_renamed(_stretches(span, hashes, arrays, n, spark.sparkContext.broadcast(known)), stretch.names), stretch)
     else:
         cut = _cut_by_join(rows, met, ids, arrays, span, hashes, whole(("mark", long), ("low", int_), ("high", int_))).select(*stretch.names)
@@ -256,7 +260,7 @@ def shared_spans(df: DataFrame, *, ids: Sequence[str], owner: str, arrays: Seque
     runs = written(runs, "runs")
     parts = cut.select(*ids, "array_name", "start", "tokens")
     if runs.count() <= sent:
-        pairs = np.array([tuple(r) for r in runs.collect()], dtype=np.int64).reshape(-1, 2).view(np.uint64)
+        pairs = np.stack([_longs(c) for c in runs.toArrow().columns], axis=1)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         shape = whole(("span_start", int_), ("span_end", int_))
         both = spark.sparkContext.broadcast((np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])))
