@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnledger.llm.crosssplit import coverage, cross_split_pairs, prompts_of
 from turnledger.llm.encoding import encode_texts
 from turnledger.llm.leakage import leaked_passages
+from turnledger.llm.mojibake import garbled_texts
 from turnledger.llm.packing import length_buckets, pack, pieces_of
 from turnledger.llm.spans import shared_spans
 from turnledger.session import table
@@ -113,7 +114,15 @@ def p7_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).withColumnsRenamed({"document": "doc_id", "item": "item_id"})
 
 
-QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_containers": p3_containers, "p3_fill": p3_fill, "p3_pieces": p3_pieces, "p3_buckets": p3_buckets, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_texts(table(spark, folder, "documents"), key="doc_id", text="text").select(F.col("key").alias("doc_id"))
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_texts(table(spark, folder, "documents"), key="doc_id", text="text").withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_containers": p3_containers, "p3_fill": p3_fill, "p3_pieces": p3_pieces, "p3_buckets": p3_buckets, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _SPANS = """
 g AS (SELECT DISTINCT trace_id, sequence, session_id, input_ids, output_ids FROM trace WHERE record_type = 'generation'),
