@@ -1,6 +1,6 @@
 """All queries of the core, and their SQL."""
 
-from turnledger.plans import lineage
+from turnledger.plans import contracts, lineage
 
-QUERIES = {**lineage.QUERIES}
-ORACLE = {**lineage.ORACLE}
+QUERIES = {**lineage.QUERIES, **contracts.QUERIES}
+ORACLE = {**lineage.ORACLE, **contracts.ORACLE}
