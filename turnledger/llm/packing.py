@@ -219,7 +219,9 @@ def pack(items: DataFrame) -> DataFrame:
     total = sorted((r["length"], r["n"]) for r in histogram.groupBy("length").agg(F.sum("n").alias("n")).collect())
     boundaries = {k: length_buckets([x for x, _ in total], [n for _, n in total], k)[0] for k in BUCKETS if k}
     kind = histogram.schema["group"].dataType.simpleString()
-    plans = histogram.groupBy("group").applyInPandas(
+    # planning is work for the processor, not for the size of its input: as many tasks as a shuffle has partitions
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plans = histogram.repartition(tasks, "group").groupBy("group").applyInPandas(
         _planner(boundaries), f"group {kind}, length bigint, rank bigint, items bigint, per bigint, container bigint, offset bigint"
     )
     by_length = plans.groupBy("group", "length").agg(F.sum("items").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "items", "per", "container", "offset"))).alias("plan"))
