@@ -126,3 +126,8 @@ def test_table(spark, cases, restorer):
         new, found, _ = restorer.restore(texts[r["key"]])
         assert bool(r["readings"]) == bool(found) and r["lossy"] == ("�" in r["restored"])
     assert M.garbled_texts(spark.createDataFrame([], df.schema), key="doc_id", text="text").count() == 0
+
+
+def test_single_pairs_cost_what_arrays_of_pairs_cost(restorer):
+    text = "aé9é7—“Ω”\t北京 Ã© x�y 👩"
+    assert restorer.model.costs(text) == pytest.approx(restorer.model.array(text).tolist())

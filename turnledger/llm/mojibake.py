@@ -13,6 +13,7 @@ with the corpus.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 #: Log2 of the buckets of each of the sketch's two rows; 2 * 4 * 2**21 bytes = 16 MB whatever the corpus.
 SKETCH_BITS = 21
 #: Surprisal (bits) from which a pair speaks for a segment; pairs in fewer than one document in 2**TYPICAL.
-TYPICAL = 5.0
+TYPICAL = 6.0
 #: Bits that a document's segments must gain, in all and per changed character, for a mapping to count.
 GAIN, GAIN_PER_CHAR = 9.0, 2.0
 #: Bits for a mapping between single-byte encodings, which any text survives; and what a segment that it makes less
@@ -34,6 +35,8 @@ GAIN, GAIN_PER_CHAR = 9.0, 2.0
 GAIN_SINGLE, LOSS = 24.0, 4.0
 #: Times that text may have been read wrongly one after the other.
 ROUNDS = 4
+#: Share of a segment's bits that a UTF-8 mapping must gain to be the only explanation tried.
+ENOUGH = 0.5
 #: Bits of a pair with U+FFFD, whatever the corpus: nothing is gained by losing characters.
 GONE = 24.0
 #: Segments a worker remembers before it starts anew.
@@ -46,6 +49,7 @@ WRITTEN_IN = ("cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp852", "cp12
 #: Multi-byte encodings, as which UTF-8 is read or as which text was written (fixed values).
 WIDE = ("gbk", "shift_jis", "euc_jp", "big5", "euc_kr")
 
+_ALL = (1 << 64) - 1
 _GAP = frozenset(" \t\n\r\u00a0")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _ISLAND = re.compile(r"[^\x00-\x7f]+(?:[\x20-\x7e][^\x00-\x7f]+)*")
@@ -141,10 +145,13 @@ class PairModel:
             elif "\ufffd" in pair:
                 got = GONE
             else:
-                codes = _fold(codes_of(pair))
-                a, b = _buckets(_pair_keys(codes[:1], codes[1:]))
-                n = min(self.sketch[a[0]], self.sketch[b[0]])
-                got = float(np.log2((self.documents + 1) / (n + 0.5)))
+                x, y = (48 if 48 <= c <= 57 else c for c in map(ord, pair))
+                x = ((x << 32) | y) * 0x9E3779B97F4A7C15 & _ALL
+                x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _ALL  # as _pair_keys
+                x ^= x >> 32
+                low = (1 << SKETCH_BITS) - 1
+                n = min(float(self.sketch[x & low]), float(self.sketch[((x >> 32) & low) + low + 1]))
+                got = math.log2((self.documents + 1) / (n + 0.5))
             if len(self.known) > MEMORY:
                 self.known.clear()
             self.known[pair] = got
@@ -238,8 +245,8 @@ def _wide_written_in(text: str, read: str, written: str) -> str:
         return text
 
 
-def inverse_mappings(segment: str) -> Iterator[tuple[tuple[str, str], str]]:
-    """((read as, written in), restored) of the mappings that change a segment."""
+def utf8_mappings(segment: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """((read as, "utf-8"), restored) of the mappings that change a segment."""
     for read in READ_AS:
         new = _utf8_read_as(segment, read)
         if new != segment:
@@ -248,13 +255,18 @@ def inverse_mappings(segment: str) -> Iterator[tuple[tuple[str, str], str]]:
         new = _wide_read_as(segment, read)
         if new != segment:
             yield (read, "utf-8"), new
-    if max(segment) < "⌀":
-        for read in ("latin-1", "cp1252"):
-            for written in WIDE:
-                new = _wide_written_in(segment, read, written)
-                if new != segment:
-                    yield (read, written), new
+
+
+def other_mappings(segment: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """((read as, written in), restored) of the mappings from other encodings that change a segment."""
     own = {c for c in segment if c > "\x7f"}
+    if max(own) < "\u2300":
+        for read in ("latin-1", "cp1252"):
+            if own <= _BYTES[read].keys():
+                for written in WIDE:
+                    new = _wide_written_in(segment, read, written)
+                    if new != segment:
+                        yield (read, written), new
     for read, tables in _SINGLE.items():
         if own.isdisjoint(_BYTES[read]):
             continue
@@ -288,17 +300,18 @@ class Restorer:
 
     def _gains(self, before: str, segment: str, after: str) -> list[tuple[tuple[str, str], float, str]]:
         key = before + segment + after
+        if before.isdigit() or after.isdigit():  # all digits cost the same
+            key = ("0" if before.isdigit() else before) + segment + ("0" if after.isdigit() else after)
         got = self.tried.get(key)
         if got is None:
             total = self.model.total
             base = total(key)
+            got = [(pair, base - total(before + new + after), new) for pair, new in utf8_mappings(segment)]
+            # what is well-formed UTF-8 nearly throughout needs no other explanation; a symbol that stands by itself, and
+            # spaces of any kind, say nothing about other encodings
             alone = before in _GAP and after in _GAP and all(c in _GAP or unicodedata.category(c)[0] in "SZC" for c in segment)
-            got = []
-            for pair, new in inverse_mappings(segment):
-                # a symbol that stands by itself, and spaces of any kind, say nothing about single-byte encodings
-                if pair[1] in WRITTEN_IN and (alone or not segment.strip()):
-                    continue
-                got.append((pair, base - total(before + new + after), new))
+            if not alone and segment.strip() and max((g for _, g, _ in got), default=0.0) < ENOUGH * base:
+                got += [(pair, base - total(before + new + after), new) for pair, new in other_mappings(segment)]
             if len(self.tried) > MEMORY:
                 self.tried.clear()
             if len(key) < 200:
