@@ -1,6 +1,7 @@
 """All queries of the core, and their SQL."""
 
-from turnledger.plans import contracts, lineage
+from turnledger.plans import contracts, lineage, measures, training
 
-QUERIES = {**lineage.QUERIES, **contracts.QUERIES}
-ORACLE = {**lineage.ORACLE, **contracts.ORACLE}
+_PARTS = (lineage, contracts, training, measures)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
