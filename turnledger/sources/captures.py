@@ -85,7 +85,8 @@ def _holds(lines: pd.Series) -> pd.Series:
 
 
 def raw_files(spark: SparkSession, path: str, limit: int = MAX_TRACE) -> DataFrame:
-    """path, bytes, sha256, content and error of each file; content is null beyond the limit."""
+    """path, bytes, sha256, content and error of each file; content is null beyond the limit. Spark's file
+    source passes over empty files, which hold no records."""
     df = spark.read.format("binaryFile").load(path)
     return df.select(
         "path", F.col("length").alias("bytes"), F.when(F.col("length") <= limit, F.col("content")).alias("content"), F.when(F.col("length") <= limit, F.sha2("content", 256)).alias("sha256"),
@@ -159,7 +160,7 @@ def trace_lines(spark: SparkSession, path: str) -> DataFrame:
     text = F.col("content").cast("string")
     cut = F.split(text, "\r\n|\n|\r")
     lines = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
-    error = F.coalesce("error", F.when((F.col("bytes") > 0) & ~F.endswith(text, F.lit("\n")), "incomplete"))
+    error = F.coalesce("error", F.when((F.col("bytes") > 0) & ~F.endswith(text, F.lit("\n")), "incomplete"), F.when(~F.is_valid_utf8(text), "utf8"))
     exploded = files.select("path", "sha256", "bytes", error.alias("file_error"), F.posexplode_outer(lines).alias("line_no", "line"))
     # offsets by a running sum in the array would be quadratic; the lines of one file are bounded by MAX_TRACE
     from pyspark.sql import Window
