@@ -6,7 +6,7 @@ from turnledger.session import build_session
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions=4, spark__driver__memory="4g", spark__sql__adaptive__coalescePartitions__parallelismFirst="false"
+        "tests", "local[4]", spark__sql__shuffle__partitions=2, spark__driver__memory="4g", spark__sql__codegen__wholeStage="false"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
