@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.operators.contract import BOUNDARY, FOLLOWING, PREVIOUS, check_transitions
-from turnledger.operators.traces import KEY, record_error, trace_errors, trace_reports, verdicts
+from turnledger.operators.traces import trace_reports, verdicts
 from turnledger.session import written
 
 # Fixed limits of the formats, in bytes.
@@ -206,10 +206,10 @@ def _as_table(records: DataFrame) -> DataFrame:
     return records.withColumns({"trace_id": F.col("path"), "trace_version": F.col("trace_version").cast("int")})
 
 
-def trace_file_reports(spark: SparkSession, path: str) -> DataFrame:
+def trace_file_reports(spark: SparkSession, path: str, records: DataFrame | None = None) -> DataFrame:
     """One report per file: path, sha256, trace_id, status, error, the counts of trace_reports. Any broken record makes
-    the file an ERROR; a footer must also carry the digest of all bytes before it."""
-    records = trace_records(spark, path)
+    the file an ERROR; a footer must also carry the digest of all bytes before it. records: what trace_records gave."""
+    records = trace_records(spark, path) if records is None else records
     table = _as_table(records)
     own = F.coalesce(
         "error",
@@ -235,11 +235,10 @@ def trace_file_reports(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def trace_file_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """The transitions of JSONL traces with their verdicts; those of files that are an ERROR are left out."""
-    records = _as_table(trace_records(spark, path))
-    bad = trace_file_reports(spark, path).where(F.col("status") == "ERROR").select(F.col("path").alias("trace_id"))
-    return verdicts(records.drop("error")).join(bad, "trace_id", "left_anti")
+def trace_file_verdicts(spark: SparkSession, path: str, records: DataFrame | None = None) -> DataFrame:
+    """The transitions of JSONL traces with their verdicts (trace_id is the path). Those of files that are an ERROR mean
+    nothing; join with trace_file_reports to leave them out."""
+    return verdicts(_as_table(trace_records(spark, path) if records is None else records).drop("error"))
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
