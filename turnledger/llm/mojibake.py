@@ -307,11 +307,13 @@ class Restorer:
             total = self.model.total
             base = total(key)
             got = [(pair, base - total(before + new + after), new) for pair, new in utf8_mappings(segment)]
-            # what is well-formed UTF-8 nearly throughout needs no other explanation; a symbol that stands by itself, and
-            # spaces of any kind, say nothing about other encodings
-            alone = before in _GAP and after in _GAP and all(c in _GAP or unicodedata.category(c)[0] in "SZC" for c in segment)
-            if not alone and segment.strip() and max((g for _, g, _ in got), default=0.0) < ENOUGH * base:
-                got += [(pair, base - total(before + new + after), new) for pair, new in other_mappings(segment)]
+            # what is well-formed UTF-8 nearly throughout needs no other explanation; spaces of any kind say nothing about
+            # other encodings, and a symbol that stands by itself only something about one in which it is a symbol too
+            if segment.strip() and max((g for _, g, _ in got), default=0.0) < ENOUGH * base:
+                alone = before in _GAP and after in _GAP and all(c in _GAP or unicodedata.category(c)[0] in "SZC" for c in segment)
+                for pair, new in other_mappings(segment):
+                    if not alone or all(c < "\x80" or unicodedata.category(c)[0] in "SN" for c in new):
+                        got.append((pair, base - total(before + new + after), new))
             if len(self.tried) > MEMORY:
                 self.tried.clear()
             if len(key) < 200:
