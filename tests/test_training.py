@@ -7,7 +7,7 @@ from turnledger.functions.arrays import common_prefix, first_difference, labels_
 from turnledger.functions.scalars import answer_score, is_alias, is_close, is_digest, is_finite
 from turnledger.operators.attribution import attribute, attribution_totals, retention
 from turnledger.operators.batches import audit_batches, feature_error, pad_batches
-from turnledger.operators.continuation import append_only, branch_replaced, continued
+from turnledger.operators.continuation import append_only, branch_replaced, continued, restored
 from turnledger.operators.paired import bootstrap_interval, linear_percentile, order_plan, pair_statistics, pairs_of, schedule_errors, trial_error
 from turnledger.operators.ranking import ranked
 from turnledger.operators.rounds import bijection, changed_arrays, leaked_prompts, normalised_rewards, sample_violations, step_continuity
@@ -165,3 +165,7 @@ def test_continuations(spark):
     assert df.select(continued(F.col("h"), F.col("r"), F.col("k"))).first()[0] == [1, 2, 3, 9, 4]
     t = spark.createDataFrame([("a {x} b {x}",), ("none",), (None,)], "t string").select(branch_replaced(F.col("t"), "{x}", "Y").alias("o"))
     assert [r["o"] for r in t.collect()] == ["a Y b {x}", None, None]
+    m = spark.createDataFrame([("s", 1, "?", 7), ("s", 2, "?", 8), ("s", 4, "?", 9), (None, 1, "kept", 1)], "s string, n int, text string, more int")
+    o = spark.createDataFrame([("s", 10, "first"), ("s", 20, "second"), ("t", 1, "x")], "s string, n int, text string")
+    got = {(r["s"], r["n"]): (r["text"], r["more"]) for r in restored(m, o, scope=["s"], order="n", content="text").collect()}
+    assert got == {("s", 4): ("second", 9), ("s", 2): ("first", 8), ("s", 1): ("?", 7), (None, 1): ("kept", 1)}

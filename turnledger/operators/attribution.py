@@ -104,17 +104,19 @@ def attribution_totals(turns: DataFrame, samples: DataFrame, *, scope: Sequence[
     """Per scope that has turns or samples: generated, trainable, unmatched, ambiguous, duplicate and unaccounted tokens,
     and the status UNMATCHED, AMBIGUOUS, NO_TRAINABLE_TOKENS or MATCHED, in this order of precedence."""
     scope = list(scope)
-    found = attribute(turns, samples, scope=scope)
-    by_source = found.where(F.col("candidates") == 1).groupBy(*scope, "turn_id", "output_index").agg(F.count("*").alias("n"))
-    matched = by_source.groupBy(*scope).agg(F.count("*").alias("represented"), F.sum(F.col("n") - 1).alias("duplicate"))
-    trained = found.groupBy(*scope).agg(
-        F.count("*").alias("trainable"), F.count_if(F.col("candidates") == 0).alias("unmatched"), F.count_if(F.col("candidates") > 1).alias("ambiguous")
-    )
+    # per source (or none) first: what is trained twice is counted in the same pass
+    found = attribute(turns, samples, scope=scope).withColumn("c", F.least("candidates", F.lit(2)))
+    by_source = found.groupBy(*scope, "c", "turn_id", "output_index").agg(F.count("*").alias("n"))
+    one = F.col("c") == 1
+    trained = by_source.groupBy(*scope).agg(
+        F.sum("n").alias("trainable"), F.sum(F.when(F.col("c") == 0, F.col("n"))).alias("unmatched"), F.sum(F.when(F.col("c") == 2, F.col("n"))).alias("ambiguous"),
+        F.sum(F.when(one, F.col("n") - 1)).alias("duplicate"), F.count_if(one).alias("represented"),
+    )
     made = turns.groupBy(*scope).agg(F.sum(F.size("output_ids")).alias("generated"))
     # long form and one grouping, so that scopes missing on a side stay
     columns = ("generated", "trainable", "unmatched", "ambiguous", "duplicate", "represented")
-    part = lambda df, own: df.select(*scope, *((F.col(c) if c in own else F.lit(0)).cast("bigint").alias(c) for c in columns))
-    whole = part(made, ("generated",)).unionByName(part(trained, ("trainable", "unmatched", "ambiguous"))).unionByName(part(matched, ("duplicate", "represented")))
+    part = lambda df, own: df.select(*scope, *(F.coalesce(F.col(c) if c in own else F.lit(0), F.lit(0)).cast("bigint").alias(c) for c in columns))
+    whole = part(made, ("generated",)).unionByName(part(trained, columns[1:]))
     whole = whole.unionByName(part(samples.select(*scope).distinct(), ()))
     sums = whole.groupBy(*scope).agg(*(F.sum(c).alias(c) for c in columns))
     status = F.when(F.col("unmatched") > 0, "UNMATCHED").when(F.col("ambiguous") > 0, "AMBIGUOUS").when(F.col("trainable") == 0, "NO_TRAINABLE_TOKENS").otherwise("MATCHED")

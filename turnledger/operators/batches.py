@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.arrays import IGNORED, count_where, padded, valid_tokens
@@ -27,14 +27,10 @@ def feature_error(input_ids: Column, labels: Column, max_length: Column | None =
 def pad_batches(features: DataFrame, *, batch: list[str], pad: Column) -> DataFrame:
     """features (input_ids, labels) with width, attention_mask and both arrays right-padded to the longest of the batch.
 
-    The width is a pre-aggregated maximum joined back, so that a batch key with many rows is no single task. Padding is
-    not supervised; a real end token keeps its label even if it equals the pad token.
+    A batch is bounded by its size, so one shuffle by batch gives its width. Padding is not supervised; a real end token
+    keeps its label even if it equals the pad token.
     """
-    widths = features.groupBy(*batch).agg(F.max(F.size("input_ids")).alias("width"))
-    on = F.lit(True)
-    for c in batch:
-        on = on & F.col(f"f.{c}").eqNullSafe(F.col(f"w.{c}"))
-    joined = features.alias("f").join(widths.alias("w"), on).select("f.*", "w.width")
+    joined = features.withColumn("width", F.max(F.size("input_ids")).over(Window.partitionBy(*batch)))
     width, size = F.col("width"), F.size("input_ids")
     return joined.withColumns(
         {

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions.arrays import common_prefix, first_difference
+from turnledger.operators.ranking import ranked
 
 
 def append_only(expected: Column, prompt: Column) -> Column:
@@ -26,12 +27,16 @@ def shared_prefix(df: DataFrame, a: str, b: str, name: str = "shared") -> DataFr
 
 
 def restored(messages: DataFrame, originals: DataFrame, *, scope: Sequence[str], order: str, content: str) -> DataFrame:
-    """messages with each row's content replaced by the original of the same rank, counted from the newest of its scope;
-    rows without an original keep theirs. Ranks are positions, contents are not compared."""
-    newest = Window.partitionBy(*scope).orderBy(F.desc(order))
-    m = messages.withColumn("__rank", F.row_number().over(newest))
-    o = originals.withColumn("__rank", F.row_number().over(newest)).select(*scope, "__rank", F.col(content).alias("__original"))
-    return m.join(o, [*scope, "__rank"], "left").withColumn(content, F.coalesce("__original", content)).drop("__original", "__rank")
+    """messages with each row's content replaced by the original of the same rank, counted from the newest (greatest
+    ``order``, a number) of its scope; rows without an original keep theirs. Ranks are positions, contents are not
+    compared. Null scopes are scopes."""
+    newest = lambda df: ranked(df.withColumn("__back", -F.col(order)), within=scope, order=["__back"], name="__rank").drop("__back")
+    m = newest(messages).alias("m")
+    o = newest(originals.select(*scope, order, content)).select(*scope, "__rank", F.col(content).alias("__original")).alias("o")
+    on = F.col("m.__rank") == F.col("o.__rank")
+    for c in scope:
+        on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}"))
+    return m.join(o, on, "left").select(*(F.coalesce("o.__original", f"m.{c}").alias(c) if c == content else F.col(f"m.{c}").alias(c) for c in messages.columns))
 
 
 def branch_replaced(text: Column, old: str, new: str) -> Column:

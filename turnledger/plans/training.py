@@ -13,7 +13,7 @@ from turnledger.operators.continuation import append_only, continued, restored,
 from turnledger.operators.ranking import ranked
 from turnledger.operators.rounds import bijection, changed_arrays, group_rewards, handoff_violations, leaked_prompts, normalised_rewards, sample_violations
 from turnledger.operators.traces import KEY
-from turnledger.session import table
+from turnledger.session import table, written
 
 SCOPE = ["trace_id", "session_id", "branch_id"]
 
@@ -25,7 +25,7 @@ def _samples(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     made = table(spark, folder, "trace").where((F.col("record_type") == "generation") & (F.size("input_ids") > 0) & (F.size("output_ids") > 0))
     turns = made.groupBy(*SCOPE, "turn_id").agg(F.min_by(F.struct("sequence", "input_ids", "output_ids"), "sequence").alias("r"))
-    return turns.select(*SCOPE, "turn_id", "r.sequence", "r.input_ids", "r.output_ids")
+    return written(turns.select(*SCOPE, "turn_id", "r.sequence", "r.input_ids", "r.output_ids"), "turns")
 
 
 def _emitted(turns: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def batch_padding(spark: SparkSession, folder: str) -> DataFrame:
 
 def collator_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The audit of a collator that trains on every token that is not padding, and so on prompts too."""
-    expected = _batches(spark, folder).select("feature_id", "padded_ids", "attention_mask", "padded_labels", "pad")
+    expected = written(_batches(spark, folder).select("feature_id", "padded_ids", "attention_mask", "padded_labels", "pad"), "batches")
     wrong = F.transform("padded_ids", lambda x: F.when(x == F.col("pad"), F.lit(IGNORED).cast("bigint")).otherwise(x))
     actual = expected.withColumn("padded_labels", F.when(F.col("feature_id") % 3 == 0, wrong).otherwise(F.col("padded_labels")))
     return audit_batches(expected, actual, on=["feature_id"], fields=["padded_ids", "attention_mask", "padded_labels"])
@@ -105,6 +105,7 @@ def trainer_handoff(spark: SparkSession, folder: str) -> DataFrame:
     """The samples of each round against a trainer's copy of them in which every eleventh is damaged in some way."""
     df = normalised_rewards(_samples(spark, folder, "group_index", "tokens", "response_length", "reward", "rollout_log_probs"), group=["group_index"])
     df = df.where((F.col("response_length") > 0) & (F.size("rollout_log_probs") == F.col("response_length")) & F.col("normalised").isNotNull())
+    df = written(df, "rollout")
     rollout = df.select(F.col("index").alias("position"), "index", "tokens", "response_length", "normalised", "rollout_log_probs")
     i, n, r = F.col("index"), F.col("response_length"), F.col("normalised")
     train = df.where(i % 11 != 1).select(
