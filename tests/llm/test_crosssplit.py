@@ -31,11 +31,11 @@ def rows_of(seed):
     return rows + [(204, "train", [5] * 500, 0, "", ""), (205, "test", [5] * 4 + [6], 1, "", ""), (206, "eval", [5] * 300 + [6], 0, "", "")]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_pairs_and_coverage_against_brute_force(spark, seed):
-    rows = rows_of(seed)
+@pytest.mark.parametrize(("seed", "sent", "shift"), [(1, 10_000, 0), (2, 0, 0), (3, 10_000, 2**40), (4, 10_000, -7)])
+def test_pairs_and_coverage_against_brute_force(spark, seed, sent, shift):
+    rows = [(i, s, t and [x + shift for x in t], *more) for i, s, t, *more in rows_of(seed)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = cross_split_pairs(df, **NAMES).collect()
+    got = cross_split_pairs(df, sent=sent, **NAMES).collect()
     ok = {i: (s, p) for i, s, t, n, *_ in rows if s in ("train", "eval", "test") and (p := prompt(t, n))}
     want = {}
     for a, (s, p) in ok.items():
@@ -44,7 +44,7 @@ def test_pairs_and_coverage_against_brute_force(spark, seed):
                 want[a, b] = len(x & y) / len(x | y)
     assert {(r["held"], r["train"]): pytest.approx(r["similarity"]) for r in got} == want and len(got) == len(want) and want
     prompts = prompts_of(df, held_out=("eval", "test"), train="train", **NAMES)
-    covered = {r["index"]: (r["n_tokens"], r["covered"]) for r in prompts.where("not side").select("index", "key").join(coverage(prompts), "key").collect()}
+    covered = {r["index"]: (r["n_tokens"], r["covered"]) for r in prompts.where("not side").select("index", "key").distinct().join(coverage(prompts), "key").collect()}
     every = {g for s, p in ok.values() if s == "train" for g in grams(p, 8)}
     for i, (s, p) in ok.items():
         if s != "train":

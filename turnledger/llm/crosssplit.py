@@ -1,11 +1,10 @@
 """Same or nearly the same prompts across splits.
 
-The distinct prompts are cut into suffixes, whose first ``DEPTH`` tokens are sorted over range partitions: a
-partitioned suffix array of all prompts. Each suffix is held against the nearest suffix of the other side before and
-after it (over partition borders too); their common prefixes are the spans that both sides share, and merged per
-prompt they give its coverage. A prompt of which too few token runs lie in such spans cannot reach the similarity and
-is left out. The rest meet through their rarest shared runs only (as many as it takes not to miss a pair), never as
-all pairs of a frequent run, and each meeting is checked exactly.
+The suffixes of all distinct prompts are sorted over range partitions: a partitioned suffix array. Neighbours that are
+equal for a run of tokens and stand on both sides are the spans the splits share; merged per prompt they give its
+coverage (to ``DEPTH`` tokens and over partition borders, in ``coverage``). A prompt too few of whose runs are shared
+cannot reach the similarity and is left out. The rest meet through their rarest shared runs only (as many as it takes
+not to miss a pair), never as all pairs of a frequent run, and each meeting is checked exactly.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +25,13 @@ from turnledger.session import written
 DEPTH = 8
 RUN = 4
 SIMILARITY = 0.6
+#: Shared runs (16 bytes each) up to which every task gets them all; beyond, they are joined.
+SENT = 2_000_000
 
 
 def prompts_of(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, held_out: tuple[str, ...], train: str) -> DataFrame:
     """index, side (true for train), prompt and key (128 bits of the prompt) of the samples that take part: those of the
-    named splits with tokens, a response length of at least 0, and a prompt left. One row per index and prompt."""
+    named splits with tokens, a response length of at least 0, and a prompt left. Repeated samples stay repeated."""
     size = F.size(tokens) - F.col(response_length)
     usable = samples.where(
         F.col(split).isin(train, *held_out) & F.col(tokens).isNotNull() & (F.col(response_length) >= 0) & (size > 0)
@@ -38,7 +40,7 @@ def prompts_of(samples: DataFrame, *, index: str, split: str, tokens: str, respo
     return usable.select(
         F.col(index).alias("index"), (F.col(split) == train).alias("side"), prompt.alias("prompt"),
         F.unhex(F.md5(F.array_join(prompt.cast("array<string>"), ",", "-"))).alias("key"),
-    ).distinct()
+    )
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,15 +189,16 @@ def _by_part(run):
 
 
 def _sides(prompts: DataFrame) -> DataFrame:
-    """The distinct prompts with the sides they stand on."""
-    return prompts.groupBy("key").agg(F.max("side").alias("train"), F.max(~F.col("side")).alias("held"), F.first("prompt").alias("prompt"))
+    """The distinct prompts, numbered, with the sides they stand on and their largest token."""
+    sides = prompts.groupBy("key").agg(F.max("side").alias("train"), F.max(~F.col("side")).alias("held"), F.first("prompt").alias("prompt"))
+    return written(sides.withColumn("id", F.monotonically_increasing_id()), "prompts")
 
 
 def coverage(prompts: DataFrame, *, least: int = DEPTH) -> DataFrame:
     """Per distinct prompt: key, train, held, n_tokens and covered, the tokens in spans of at least ``least`` (RUN to
     DEPTH) tokens that also stand in a prompt of the other side."""
-    sides = written(_sides(prompts), "prompts")
-    suffixes = written(sides.mapInArrow(_suffixes, _SUFFIX), "suffixes")
+    sides = _sides(prompts)
+    suffixes = written(sides.select("key", "train", "held", "prompt").mapInArrow(_suffixes, _SUFFIX), "suffixes")
     spans = suffixes.join(shared_heads(suffixes).where(F.col("common") >= least), "head")
     covered = spans.groupBy("key").agg(F.collect_set(F.struct("at", "common")).alias("spans"))
     # every position of every span once
@@ -203,47 +206,197 @@ def coverage(prompts: DataFrame, *, least: int = DEPTH) -> DataFrame:
     return sides.join(covered, "key", "left").select("key", "train", "held", F.size("prompt").alias("n_tokens"), F.coalesce(F.size(places), F.lit(0)).alias("covered"))
 
 
-def similar_prompts(prompts: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(held, train, similarity) of the prompt keys of both sides of which at least that share of the distinct runs of
-    RUN tokens is common. Prompts of fewer tokens have no run and are similar to none."""
-    sides = written(_sides(prompts), "prompts")
-    suffixes = written(sides.mapInArrow(_suffixes, _SUFFIX), "suffixes")
-    spans = shared_heads(suffixes).where(F.col("common") >= RUN).select("head")
-    # the runs at the start of shared spans, with how many prompts have them
-    runs = suffixes.join(spans, "head", "left_semi").select("key", "train", "held", "n_runs", "run").distinct()
-    runs = written(runs, "shared-runs")
-    often = runs.groupBy("run").agg(F.count("*").alias("often"))
+def _starts(width: int):
+    """(train, held, prompt) to the distinct suffix starts of RUN tokens of each chunk, with how many of its prompts have
+    them: head, run, train, held, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            train, held = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            x, offsets, nulls = flat(batch.column(2))
+            for low, high in chunks(offsets):
+                a, b = offsets[low], offsets[high]
+                at, row = whole_runs(offsets[low : high + 1] - a, RUN, None if nulls is None else nulls[a:b])
+                if not len(at):
+                    continue
+                part = x[a:b]
+                mark = run_hashes(part, RUN)[at]
+                order = np.lexsort((row, mark))
+                at, row, mark = at[order], row[order], mark[order]
+                new = np.ones(len(mark), dtype=bool)
+                new[1:] = mark[1:] != mark[:-1]
+                once = new.copy()
+                once[1:] |= row[1:] != row[:-1]
+                first = np.flatnonzero(new)
+                own = row + low
+                tokens = np.stack([part[at[first] + k] for k in range(RUN)], axis=1)
+                raw = (tokens if width == 4 else tokens + np.uint64(1 << 63)).astype(f">u{width}").tobytes()
+                heads = pa.Array.from_buffers(pa.binary(width * RUN), len(first), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [heads, pa.array(mark[first].view(np.int64)), pa.array(np.logical_or.reduceat(train[own], first)), pa.array(np.logical_or.reduceat(held[own], first)), pa.array(np.add.reduceat(once.astype(np.int64), first))],
+                    ["head", "run", "train", "held", "n"],
+                )
+
+    return run
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted starts of one partition to the stretches of equal neighbours that stand on both sides. The first and the
+    last stretch may go on in another partition and come out in any case."""
+    held_back: list | None = None
+    first = True
+
+    def row(x: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x[1:], (pa.int64(), pa.bool_(), pa.bool_(), pa.int64()), strict=True)], ["run", "train", "held", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = batch.column(0)
+        same = pc.equal(heads.slice(1), heads.slice(0, len(heads) - 1)).to_numpy(zero_copy_only=False)
+        start = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        run, train, held, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))
+        run, train, held, n = run[start], np.logical_or.reduceat(train, start), np.logical_or.reduceat(held, start), np.add.reduceat(n, start)
+        if held_back is not None and held_back[0] == heads[0].as_py():
+            train[0] |= held_back[2]
+            held[0] |= held_back[3]
+            n[0] += held_back[4]
+        elif held_back is not None:
+            if first or (held_back[2] and held_back[3]):
+                yield row(held_back)
+            first = False
+        last = len(start) - 1
+        keep = train & held
+        keep[0] |= first
+        keep[last] = False
+        first = first and last == 0
+        held_back = [heads[len(heads) - 1].as_py(), int(run[last]), bool(train[last]), bool(held[last]), int(n[last])]
+        at = np.flatnonzero(keep)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(run[at]), pa.array(train[at]), pa.array(held[at]), pa.array(n[at])], ["run", "train", "held", "n"])
+    if held_back is not None:
+        yield row(held_back)
+
+
+def shared_runs(sides: DataFrame) -> DataFrame:
+    """run and often (prompts that have it) of the token runs that stand on both sides: the suffixes of all prompts,
+    sorted to RUN tokens over range partitions, and of neighbours that are equal that far those with both sides."""
+    most = sides.agg(F.max(F.array_max("prompt")).alias("hi"), F.min(F.array_min("prompt")).alias("lo")).first()
+    width = 4 if most["hi"] is None or (most["hi"] < 1 << 32 and most["lo"] >= 0) else 8
+    starts = sides.select("train", "held", "prompt").mapInArrow(_starts(width), "head binary, run bigint, train boolean, held boolean, n bigint")
+    array = starts.repartitionByRange("head").sortWithinPartitions("head")
+    stretches = array.mapInArrow(_scan, "run bigint, train boolean, held boolean, n bigint")
+    whole = stretches.groupBy("run").agg(F.max("train").alias("train"), F.max("held").alias("held"), F.sum("n").alias("often"))
+    return written(whole.where(F.col("train") & F.col("held")).select("run", "often"), "shared-runs")
+
+
+def _own_runs(x: np.ndarray, offsets: np.ndarray, nulls: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct runs of each list, by row."""
+    at, row = whole_runs(offsets, RUN, nulls)
+    if not len(at):
+        return row, np.zeros(0, np.uint64)
+    mark = run_hashes(x, RUN)[at]
+    order = np.lexsort((mark, row))
+    row, mark = row[order], mark[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
+    return row[new], mark[new]
+
+
+def _reach(similarity: float, shared):
+    """(id, train, held, prompt) to the prompts with enough shared runs: id, train, held, n_runs, runs, probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            x, offsets, nulls = flat(batch.column(3))
+            for low, high in chunks(offsets):
+                a, b = offsets[low], offsets[high]
+                row, mark = _own_runs(x[a:b], offsets[low : high + 1] - a, None if nulls is None else nulls[a:b])
+                total = np.bincount(row, minlength=high - low)
+                place = np.searchsorted(known, mark)
+                place[place == len(known)] = 0
+                hit = known[place] == mark if len(known) else np.zeros(len(mark), bool)
+                row, mark, times = row[hit], mark[hit], often[place[hit]]
+                order = np.lexsort((mark, times, row))
+                row, mark = row[order], mark[order]
+                count = np.bincount(row, minlength=high - low)
+                need = np.ceil(similarity * total - 1e-9).astype(np.int64)
+                good = np.flatnonzero((count >= need) & (count > 0))
+                if not len(good):
+                    continue
+                begin = np.cumsum(count) - count
+                lists = lambda n: pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(n[good])]).astype(np.int32)),
+                    pa.array(mark[np.concatenate([np.arange(begin[i], begin[i] + n[i]) for i in good])].view(np.int64)),
+                )
+                rows = pa.array(good + low)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(rows) for k in range(3)), pa.array(total[good].astype(np.int32)), lists(count), lists(np.minimum(count, count - need + 1))],
+                    ["id", "train", "held", "n_runs", "runs", "probes"],
+                )
+
+    return run
+
+
+def _reach_by_join(sides: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """The same when there are too many shared runs to send."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, offsets, nulls = flat(batch.column(3))
+            for low, high in chunks(offsets):
+                a, b = offsets[low], offsets[high]
+                row, mark = _own_runs(x[a:b], offsets[low : high + 1] - a, None if nulls is None else nulls[a:b])
+                rows = pa.array(row.astype(np.int64) + low)
+                total = np.bincount(row, minlength=high - low).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), pa.array(total[row]), pa.array(mark.view(np.int64))], ["id", "train", "held", "n_runs", "run"])
+
+    runs = sides.mapInArrow(exploded, "id bigint, train boolean, held boolean, n_runs int, run bigint")
     need: Column = F.ceil(F.lit(similarity) * F.col("n_runs") - F.lit(1e-9))
-    reach = (
-        runs.join(often, "run")
-        .groupBy("key", "train", "held", "n_runs")
-        .agg(F.sort_array(F.collect_list(F.struct("often", "run"))).alias("own"))
-        .where(F.size("own") >= need)
-    )
-    # without a pair among the first n - need + 1 runs in the common order, fewer than need runs can be shared
-    probes = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - need + 1).cast("int"))
-    reach = written(reach.select("key", "train", "held", "n_runs", F.transform("own", lambda r: r["run"]).alias("runs"), F.transform(probes, lambda r: r["run"]).alias("probes")), "reach")
-    side = lambda s, p: reach.where(s).select(F.col("key").alias(f"{p}_key"), F.col("n_runs").alias(f"{p}_n"), F.explode("probes").alias("probe"))
+    own = runs.join(shared, "run").groupBy("id", "train", "held", "n_runs").agg(F.sort_array(F.collect_list(F.struct("often", "run"))).alias("own")).where(F.size("own") >= need)
+    names = F.transform("own", lambda r: r["run"])
+    return own.select("id", "train", "held", "n_runs", names.alias("runs"), F.slice(names, F.lit(1), (F.size("own") - need + 1).cast("int")).alias("probes"))
+
+
+def similar_prompts(sides: DataFrame, *, similarity: float = SIMILARITY, sent: int = SENT) -> DataFrame:
+    """(held, train, similarity) of the prompt keys of both sides of which at least that share of the distinct runs of
+    RUN tokens is common. Prompts of fewer tokens have no run and are similar to none. sides: what _sides gave."""
+    spark = sides.sparkSession
+    shared = shared_runs(sides)
+    own = sides.select("id", "train", "held", "prompt")
+    # a pair shares at least need of each prompt's runs, so without one among the first (shared - need + 1) of both, in
+    # one common order, it cannot be one
+    if shared.count() <= sent:
+        rows = shared.toArrow()
+        known = rows.column("run").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        both = spark.sparkContext.broadcast((known[order], rows.column("often").to_numpy()[order]))
+        reach = own.mapInArrow(_reach(similarity, both), "id bigint, train boolean, held boolean, n_runs int, runs array<bigint>, probes array<bigint>")
+    else:
+        reach = _reach_by_join(own, shared, similarity)
+    reach = written(reach, "reach")
+    side = lambda s, p: reach.where(s).select(F.col("id").alias(f"{p}_id"), F.col("n_runs").alias(f"{p}_n"), F.explode("probes").alias("probe"))
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    met = (
-        side("held", "a").join(side("train", "b"), "probe").where(low >= F.lit(similarity) * high - F.lit(1e-9)).select("a_key", "b_key").distinct()
-    )
-    runs_of = lambda p: reach.select(F.col("key").alias(f"{p}_key"), F.col("n_runs").alias(f"{p}_n"), F.col("runs").alias(f"{p}_runs"))
-    both = met.join(runs_of("a"), "a_key").join(runs_of("b"), "b_key").withColumn("common", F.size(F.array_intersect("a_runs", "b_runs")))
+    met = side("held", "a").join(side("train", "b"), "probe").where(low >= F.lit(similarity) * high - F.lit(1e-9)).select("a_id", "b_id").distinct()
+    runs_of = lambda p: reach.select(F.col("id").alias(f"{p}_id"), F.col("n_runs").alias(f"{p}_n"), F.col("runs").alias(f"{p}_runs"))
+    pairs = met.join(runs_of("a"), "a_id").join(runs_of("b"), "b_id").withColumn("common", F.size(F.array_intersect("a_runs", "b_runs")))
     share = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
-    return both.select(F.col("a_key").alias("held"), F.col("b_key").alias("train"), share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    found = pairs.select("a_id", "b_id", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    key = lambda p: sides.select(F.col("id").alias(f"{p}_id"), F.col("key").alias({"a": "held", "b": "train"}[p]))
+    return found.join(key("a"), "a_id").join(key("b"), "b_id").select("held", "train", "similarity")
 
 
-def cross_split_pairs(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, held_out: tuple[str, ...] = ("eval", "test"), train: str = "train", similarity: float = SIMILARITY) -> DataFrame:
+def cross_split_pairs(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, held_out: tuple[str, ...] = ("eval", "test"), train: str = "train", similarity: float = SIMILARITY, sent: int = SENT) -> DataFrame:
     """(held, train, similarity): indexes of a held-out and a training sample with similar prompts.
 
     Samples with null split, tokens or response length, a negative length, or no prompt left take no part; null tokens
     inside a prompt end a run. Repeated rows count once; equal prompts are compared once and written out per sample at
     the end. Empty tables give no rows; further columns are ignored.
     """
-    prompts = written(prompts_of(samples, index=index, split=split, tokens=tokens, response_length=response_length, held_out=held_out, train=train), "samples")
-    pairs = similar_prompts(prompts, similarity=similarity)
-    members = prompts.select("index", "side", "key")
+    prompts = prompts_of(samples, index=index, split=split, tokens=tokens, response_length=response_length, held_out=held_out, train=train)
+    pairs = similar_prompts(_sides(prompts), similarity=similarity, sent=sent)
+    members = written(prompts.select("index", "side", "key").distinct(), "members")
     held = members.where(~F.col("side")).select(F.col("key").alias("held"), F.col("index").alias("held_index"))
     other = members.where("side").select(F.col("key").alias("train"), F.col("index").alias("train_index"))
     return pairs.join(held, "held").join(other, "train").select(F.col("held_index").alias("held"), F.col("train_index").alias("train"), "similarity").distinct()

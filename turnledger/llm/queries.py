@@ -93,7 +93,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
 def p5_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Per held-out sample: prompt tokens, and those in spans of 8 or more tokens that a training prompt has too."""
     prompts = prompts_of(table(spark, folder, "rollout_samples"), held_out=("eval", "test"), train="train", **_SAMPLE)
-    return prompts.where(~F.col("side")).select("index", "key").join(coverage(prompts), "key").select("index", "n_tokens", "covered").distinct()
+    return prompts.where(~F.col("side")).select("index", "key").distinct().join(coverage(prompts), "key").select("index", "n_tokens", "covered").distinct()
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
