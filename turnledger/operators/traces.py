@@ -100,7 +100,7 @@ def trace_errors(records: DataFrame) -> DataFrame:
     is_footer, made, gap = (F.col("record_type") == x for x in ("capture_complete", "generation", "capture_gap"))
     by = own.groupBy("trace_id").agg(
         F.count("*").alias("rows"),
-        F.min_by("__error", F.when(F.col("__error").isNotNull(), F.col("sequence"))).alias("record_error"),
+        F.min_by("__error", F.when(F.col("__error").isNotNull(), F.coalesce("sequence", F.lit(-1)))).alias("record_error"),
         F.min("sequence").alias("low"), F.max("sequence").alias("high"),
         F.min("trace_version").alias("v0"), F.max("trace_version").alias("v1"),
         F.min("evidence_kind").alias("e0"), F.max("evidence_kind").alias("e1"),
