@@ -298,7 +298,8 @@ class Restorer:
                 out.append(m.span())
         return out
 
-    def _gains(self, before: str, segment: str, after: str) -> list[tuple[tuple[str, str], float, str]]:
+    def _gains(self, before: str, segment: str, after: str) -> tuple[list, dict]:
+        """Mappings that make the segment more probable, as (mapping, gain, restored), and what others cost."""
         key = before + segment + after
         if before.isdigit() or after.isdigit():  # all digits cost the same
             key = ("0" if before.isdigit() else before) + segment + ("0" if after.isdigit() else after)
@@ -314,6 +315,8 @@ class Restorer:
                 for pair, new in other_mappings(segment):
                     if not alone or all(c < "\x80" or unicodedata.category(c)[0] in "SN" for c in new):
                         got.append((pair, base - total(before + new + after), new))
+            least = 0.5 * GAIN_PER_CHAR
+            got = [x for x in got if x[1] > least], {pair: max(gain, -LOSS) for pair, gain, _ in got if gain <= least}
             if len(self.tried) > MEMORY:
                 self.tried.clear()
             if len(key) < 200:
@@ -323,14 +326,21 @@ class Restorer:
     def once(self, text: str) -> tuple[str, tuple[str, str] | None, float]:
         """The text with the mapping undone that gains most, that mapping, and the gain."""
         found: dict[tuple[str, str], _Evidence] = {}
+        against = []
         for a, b in self.segments(text):
             before, after = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
-            for pair, gain, new in self._gains(before, text[a:b], after):
-                found.setdefault(pair, _Evidence()).add(text, a, b, new, gain)
-        good = {p: e for p, e in found.items() if e.holds(p)}
+            gains, costs = self._gains(before, text[a:b], after)
+            against.append(costs)
+            for pair, gain, new in gains:
+                e = found.get(pair)
+                if e is None:
+                    e = found[pair] = _Evidence()
+                e.gain += gain
+                e.places.append((a, b, new))
+        good = {p: e for p, e in found.items() if e.holds(p, text)}
         if not good:
             return text, None, 0.0
-        pair = max(good, key=lambda p: good[p].balance)
+        pair = max(good, key=lambda p: good[p].gain + sum(costs.get(p, 0.0) for costs in against))
         out, at = [], 0
         for a, b, new in good[pair].places:
             out += [text[at:a], new]
@@ -350,27 +360,19 @@ class Restorer:
 
 
 class _Evidence:
-    """What one mapping does to the segments of a text."""
+    """The segments of a text that one mapping makes more probable."""
 
     def __init__(self) -> None:
-        self.gain = self.balance = 0.0
-        self.changed = 0
-        self.kinds: set[str] = set()
+        self.gain = 0.0
         self.places: list[tuple[int, int, str]] = []
 
-    def add(self, text: str, a: int, b: int, new: str, gain: float) -> None:
-        self.balance += max(gain, -LOSS)
-        if gain > 0.5 * GAIN_PER_CHAR:
-            own = [c for c in text[a:b] if c > "\x7f" and not c.isspace()]
-            self.gain += gain
-            self.changed += len(own)
-            self.kinds.update(own)
-            self.places.append((a, b, new))
-
-    def holds(self, pair: tuple[str, str]) -> bool:
+    def holds(self, pair: tuple[str, str], text: str) -> bool:
         if pair[1] not in WRITTEN_IN:
             return self.gain >= GAIN
-        return self.gain >= max(GAIN_SINGLE, GAIN_PER_CHAR * self.changed) and (len(self.kinds) > 1 or len(self.places) > 2)
+        if self.gain < GAIN_SINGLE:
+            return False
+        changed = [c for a, b, _ in self.places for c in text[a:b] if c > "\x7f" and not c.isspace()]
+        return self.gain >= GAIN_PER_CHAR * len(changed) and (len(set(changed)) > 1 or len(self.places) > 2)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
