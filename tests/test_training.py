@@ -8,7 +8,7 @@ from turnledger.functions.scalars import answer_score, is_alias, is_close, is_di
 from turnledger.operators.attribution import attribute, attribution_totals, retention
 from turnledger.operators.batches import audit_batches, feature_error, pad_batches
 from turnledger.operators.continuation import append_only, branch_replaced, continued, restored
-from turnledger.operators.paired import bootstrap_interval, linear_percentile, order_plan, pair_statistics, pairs_of, schedule_errors, trial_error
+from turnledger.operators.paired import bootstrap_interval, order_plan, pair_statistics, pairs_of, schedule_errors, trial_error
 from turnledger.operators.ranking import ranked
 from turnledger.operators.rounds import bijection, changed_arrays, leaked_prompts, normalised_rewards, sample_violations, step_continuity
 
@@ -147,7 +147,7 @@ def test_paired_measures(spark):
     got = {r["bench"]: r for r in pair_statistics(pairs_of(t, pair=["bench", "pair"], value="seconds", work="work"), by=["bench"]).collect()}
     assert (got["b"]["status"], got["b"]["delta_mean"], got["b"]["delta_median"], got["b"]["delta_percent"]) == ("COMPARABLE", 2.0, 2.0, pytest.approx(100 * 2 / 11.5))
     assert (got["c"]["status"], got["c"]["delta_mean"], got["c"]["n_mismatched"]) == ("NOT_COMPARABLE", None, 1) and got["d"]["status"] == "INCOMPLETE"
-    assert bootstrap_interval([2.0] * 5) == (2.0, 2.0) and linear_percentile([1, 2, 3, 4], 0.5) == 2.5 and sorted(map(tuple, order_plan(6, 1))) == [("off", "on")] * 3 + [("on", "off")] * 3
+    assert bootstrap_interval([2.0] * 5) == (2.0, 2.0) and sorted(map(tuple, order_plan(6, 1))) == [("off", "on")] * 3 + [("on", "off")] * 3
     with pytest.raises(ValueError):
         order_plan(3, 0)
     trial = spark.createDataFrame(

@@ -20,6 +20,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnledger.functions.scalars import ALIAS
 
+# The reasons that capture gaps give.
+CONTEXT_INVALID = "http_context_invalid"
+STREAM_UNSUPPORTED = "http_stream_unsupported"
+AUTH_MISMATCH = "http_session_auth_mismatch"
+DUPLICATE_TURN = "http_duplicate_turn"
+PARENT_NOT_COMPLETED = "http_parent_not_completed"
+COVERAGE_MISMATCH = "http_callback_coverage_mismatch"
+UNSUCCESSFUL = "http_unsuccessful_response"
+FAILED_OR_CANCELLED = "http_handler_failed_or_cancelled"
+RECORD_FAILED = "turn_record_capture_failed"
+ABORTED = "http_owner_aborted"
+SHUTDOWN_TIMEOUT = "http_shutdown_timeout"
+COUNT_MISMATCH = "http_request_count_mismatch"
+
 EVENTS = (
     "trace_id string, event_no bigint, kind string, request_id string, session_id string, branch_id string, turn_id string, parent_turn_id string, "
     "metadata_session string, contract_mode string, streaming boolean, bearer string, status int, calls int, captured int, input_ids array<bigint>, output_ids array<bigint>, expected bigint, reason string"
@@ -90,15 +104,15 @@ class Admission:
         parent = _none(e["parent_turn_id"])
         good = all(isinstance(x, str) and _ALIAS.match(x) for x in [*names, *([parent] if parent is not None else [])])
         if not good or _none(e["metadata_session"]) != names[0] or parent == names[2] or _none(e["contract_mode"]) not in (None, "unknown", "append_only", "history_rewrite"):
-            self._gap(number, "http_context_invalid", 422)
+            self._gap(number, CONTEXT_INVALID, 422)
         elif _none(e["streaming"]):
-            self._gap(number, "http_stream_unsupported", 422)
+            self._gap(number, STREAM_UNSUPPORTED, 422)
         elif _none(e["bearer"]) not in (None, names[0]):
-            self._gap(number, "http_session_auth_mismatch", 422)
+            self._gap(number, AUTH_MISMATCH, 422)
         elif (key := json.dumps(["turn", *names])) in self.turns:
-            self._gap(number, "http_duplicate_turn", 409)
+            self._gap(number, DUPLICATE_TURN, 409)
         elif parent is not None and self.turns.get(json.dumps(["turn", *names[:2], parent])) != "completed":
-            self._gap(number, "http_parent_not_completed", 409)
+            self._gap(number, PARENT_NOT_COMPLETED, 409)
         else:
             self.turns[key] = "reserved"
             self.turns[json.dumps(["request", e["request_id"]])] = json.dumps([*names, parent])
@@ -115,16 +129,16 @@ class Admission:
         *names, parent = json.loads(known)
         status = _none(e["status"])
         if status is None:
-            self._gap(number, "http_handler_failed_or_cancelled")
+            self._gap(number, FAILED_OR_CANCELLED)
         elif not 200 <= int(status) < 300:
-            self._gap(number, "http_unsuccessful_response", int(status))
+            self._gap(number, UNSUCCESSFUL, int(status))
         else:
             c["succeeded"] += 1
             outputs = _list(e["output_ids"])
             if not outputs or min(outputs) < 0 or _list(e["input_ids"]) is None:
-                self._gap(number, "turn_record_capture_failed", int(status))
+                self._gap(number, RECORD_FAILED, int(status))
             elif (_none(e["calls"]), _none(e["captured"])) != (1, 1):
-                self._gap(number, "http_callback_coverage_mismatch", int(status))
+                self._gap(number, COVERAGE_MISMATCH, int(status))
             else:
                 c["generations"] += 1
                 self._write(number, "generation", reply=int(status), session_id=names[0], branch_id=names[1], turn_id=names[2], parent_turn_id=parent, input_ids=_list(e["input_ids"]), output_ids=outputs)
@@ -132,7 +146,7 @@ class Admission:
 
     def _abort(self, number: int, e: dict) -> None:
         self.c["accepting"] = False
-        self._gap(number, _none(e["reason"]) or "http_owner_aborted")
+        self._gap(number, _none(e["reason"]) or ABORTED)
 
     def _finish(self, number: int, e: dict) -> None:
         """Stops admission; the seal waits until nothing is active."""
@@ -144,13 +158,13 @@ class Admission:
         """The time to drain is over."""
         if self.c["waiting"] is not None and not self.c["sealed"]:
             self.c["waiting"] = None
-            self._gap(-1, "http_shutdown_timeout")
+            self._gap(-1, SHUTDOWN_TIMEOUT)
 
     def _seal(self, number: int) -> None:
         c = self.c
         expected, c["waiting"] = c["waiting"], None
         if expected >= 0 and c["received"] != expected:
-            self._gap(number, "http_request_count_mismatch")
+            self._gap(number, COUNT_MISMATCH)
         if c["failed"]:
             self._refused(number, "capture_incomplete")
             return
