@@ -25,49 +25,53 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def prefix_hashes(values: np.ndarray, salt: int) -> np.ndarray:
-    """Hash of values[:i + 1] for each i: a running sum of hashed (place, value) pairs."""
-    place = _mixed(np.arange(1, len(values) + 1, dtype=np.uint64), salt + 7)
-    return _mixed(np.cumsum(_mixed(values.astype(np.int64).view(np.uint64) ^ place, salt)), salt + 3)
+def context_keys(values: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, salt: int) -> np.ndarray:
+    """For every value of every list a hash of the list's seed and of its values up to and with this one: a running sum
+    of hashed (place, value) pairs."""
+    sizes = np.diff(offsets)
+    place = np.arange(1, len(values) + 1) - np.repeat(offsets[:-1], sizes)
+    total = np.cumsum(_mixed(values.view(np.uint64) ^ _mixed(place.astype(np.uint64), salt + 7), salt))
+    before = np.concatenate([np.zeros(1, np.uint64), total])[offsets[:-1]]
+    return _mixed(total - np.repeat(before, sizes) + np.repeat(seeds.view(np.uint64), sizes), salt + 3)
 
 
 def _positions(n_ids: int, names: Sequence[str]):
-    """(ids..., tokens, first, mask or null) to a row per position from first on whose mask is 1."""
+    """(ids..., tokens, first, mask or null, two seeds) to a row per position from first on whose mask is 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, values = np.asarray(batch.column(n_ids).offsets), batch.column(n_ids).values.to_numpy(zero_copy_only=False)
-            first = batch.column(n_ids + 1).to_numpy(zero_copy_only=False)
-            masks = batch.column(n_ids + 2)
-            bits, cuts = masks.values.to_numpy(zero_copy_only=False), np.asarray(masks.offsets)
+            tokens, masks = batch.column(n_ids), batch.column(n_ids + 2)
+            offsets = np.asarray(tokens.offsets)
+            values = tokens.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy()
+            offsets = (offsets - offsets[0]).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            index = np.arange(len(values)) - offsets[row] - batch.column(n_ids + 1).to_numpy()[row]
+            keep = index >= 0
             plain = masks.is_null().to_numpy(zero_copy_only=False)
-            rows, index, a, b = [], [], [], []
-            for i in range(batch.num_rows):
-                tokens = values[offsets[i] : offsets[i + 1]]
-                start = int(first[i])
-                keep = np.arange(start, len(tokens))
-                if not plain[i]:
-                    keep = keep[bits[cuts[i] : cuts[i + 1]][: len(keep)] == 1] if len(keep) else keep
-                if not len(keep):
-                    continue
-                rows.append(np.full(len(keep), i))
-                index.append(keep - start)
-                a.append(prefix_hashes(tokens, 1)[keep])
-                b.append(prefix_hashes(tokens, 2)[keep])
-            if rows:
-                at = pa.array(np.concatenate(rows))
+            if not plain.all():
+                cuts = np.asarray(masks.offsets).astype(np.int64)
+                bits = np.append(masks.values.fill_null(0).to_numpy(zero_copy_only=False), 0)
+                at = cuts[row] + index
+                inside = keep & (at < cuts[row + 1])
+                keep &= plain[row] | (inside & (bits[np.where(inside, at, len(bits) - 1)] == 1))
+            at = np.flatnonzero(keep)
+            if len(at):
+                keys = [context_keys(values, offsets, batch.column(n_ids + 2 + k).to_numpy(), k)[at] for k in (1, 2)]
+                rows = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(at) for k in range(n_ids)), pa.array(np.concatenate(index).astype(np.int32)),
-                     *(pa.array(np.concatenate(x).view(np.int64)) for x in (a, b))],
-                    list(names),
-                )
+                    [*(batch.column(k).take(rows) for k in range(n_ids)), pa.array(index[at].astype(np.int32)), *(pa.array(k.view(np.int64)) for k in keys)], list(names)
+                )
 
     return run
 
 
-def _exploded(df: DataFrame, ids: Sequence[str], tokens, first, mask) -> DataFrame:
+def _exploded(df: DataFrame, scope: Sequence[str], ids: Sequence[str], tokens, first, mask) -> DataFrame:
     names = [*ids, "index", "ka", "kb"]
-    rows = df.select(*ids, tokens.cast("array<bigint>").alias("__t"), first.cast("bigint").alias("__f"), mask.cast("array<int>").alias("__m"))
+    whole = [*(F.col(c) for c in scope), *(F.col(c).isNull() for c in scope)]  # a hash passes over nulls
+    rows = df.select(
+        *ids, tokens.cast("array<bigint>").alias("__t"), first.cast("bigint").alias("__f"), mask.cast("array<int>").alias("__m"),
+        F.xxhash64(F.lit(1), *whole).alias("__a"), F.xxhash64(F.lit(2), *whole).alias("__b"),
+    )
     rows = rows.where(F.col("__t").isNotNull() & ~F.exists("__t", lambda x: x.isNull()) & (F.col("__f") >= 0))
     kinds = {f.name: f.dataType for f in rows.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in ids] + [T.StructField("index", T.IntegerType()), T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType())])
@@ -80,24 +84,18 @@ def attribute(turns: DataFrame, samples: DataFrame, *, scope: Sequence[str]) ->
 
     turns: scope, turn_id, input_ids, output_ids. samples: scope, sample_id, tokens, response_length, loss_mask (0 or 1
     per response token; null for all ones). Rows with null or impossible arrays take no part here; validity is for the
-    caller to report. Scope columns compare null-safely. Equal sampled contexts stay ambiguous, they are never told
-    apart by order.
+    caller to report. Scope columns compare null-safely (the scope is part of the hashed context, so only samples carry
+    it through the join). Equal sampled contexts stay ambiguous, they are never told apart by order.
     """
     scope = list(scope)
-    made = _exploded(turns, [*scope, "turn_id"], F.concat("input_ids", "output_ids"), F.size("input_ids"), F.lit(None))
-    by_key = made.groupBy(*scope, "ka", "kb").agg(
-        F.count("*").alias("candidates"), F.min("turn_id").alias("turn_id"), F.min("index").alias("output_index")
-    )
+    made = _exploded(turns, scope, ["turn_id"], F.concat("input_ids", "output_ids"), F.size("input_ids"), F.lit(None))
+    by_key = made.groupBy("ka", "kb").agg(F.count("*").alias("candidates"), F.min("turn_id").alias("turn_id"), F.min("index").alias("output_index"))
     usable = samples.where((F.col("response_length") >= 0) & (F.col("response_length") <= F.size("tokens")))
-    trained = _exploded(usable, [*scope, "sample_id"], F.col("tokens"), F.size("tokens") - F.col("response_length"), F.col("loss_mask"))
-    on = (F.col("s.ka") == F.col("t.ka")) & (F.col("s.kb") == F.col("t.kb"))
-    for c in scope:
-        on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
-    one = F.col("t.candidates") == 1
-    return trained.alias("s").join(by_key.alias("t"), on, "left").select(
-        *(F.col(f"s.{c}").alias(c) for c in scope), F.col("s.sample_id").alias("sample_id"), F.col("s.index").alias("index"),
-        F.coalesce("t.candidates", F.lit(0)).alias("candidates"), F.when(one, F.col("t.turn_id")).alias("turn_id"), F.when(one, F.col("t.output_index")).alias("output_index"),
-    )
+    trained = _exploded(usable, scope, [*scope, "sample_id"], F.col("tokens"), F.size("tokens") - F.col("response_length"), F.col("loss_mask"))
+    one = F.col("candidates") == 1
+    return trained.join(by_key, ["ka", "kb"], "left").select(
+        *scope, "sample_id", "index", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(one, F.col("turn_id")).alias("turn_id"), F.when(one, F.col("output_index")).alias("output_index")
+    )
 
 
 def attribution_totals(turns: DataFrame, samples: DataFrame, *, scope: Sequence[str]) -> DataFrame:
