@@ -1,4 +1,5 @@
 import json
+import os
 
 from turnledger.streaming.admission import EVENTS, admitted, replayed
 
@@ -66,6 +67,7 @@ def test_stream_equals_table(spark, tmp_path):
     source.mkdir()
     for k, part in enumerate((lambda e: e["event_no"] < 6, lambda e: 6 <= e["event_no"])):
         (source / f"{k}.json").write_text("\n".join(json.dumps(e) for e in events if part(e)))
+        os.utime(source / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)  # the file source takes the older file first
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(source))
     query = admitted(stream).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(240)
