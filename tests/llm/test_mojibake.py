@@ -131,3 +131,14 @@ def test_table(spark, cases, restorer):
 def test_single_pairs_cost_what_arrays_of_pairs_cost(restorer):
     text = "aé9é7—“Ω”\t北京 Ã© x�y 👩"
     assert restorer.model.costs(text) == pytest.approx(restorer.model.array(text).tolist())
+
+
+def test_frequent_garbling_does_not_hide_itself(spark):
+    texts = corpus(600)
+    copied = sloppy("L’été dernier, la clé était cachée à côté du modèle".encode(), "cp1252")
+    rng = random.Random(7)
+    source = [sloppy("\n".join(rng.choice(SAYINGS["fr"] + SAYINGS["ru"]).format(rng.randrange(10**6)) for _ in range(3)).encode(), "cp1252") for _ in range(400)]
+    for garbled in ([copied] * 400, source):
+        df = spark.createDataFrame(list(enumerate(texts + garbled)), "doc_id bigint, text string")
+        got = {r["key"] for r in M.garbled_texts(df, key="doc_id", text="text").collect()}
+        assert got == set(range(600, 1000))

@@ -7,7 +7,11 @@ stretches, and only there the inverse mappings are tried: encode in the encoding
 once or repeatedly. A mapping counts if it makes the segments of a document so much more probable under the corpus
 that chance cannot explain it. Characters that only a lossy reading leaves (U+FFFD) mark a document as affected too.
 
-The pair counts go into a table of fixed size (a count-min sketch of two rows), so what the tasks get does not grow
+Every distinct text counts once, so copies do not make their own garbling typical. Neither does a source that is
+garbled throughout: a second count leaves out the runs that are well-formed UTF-8 under some encoding, and a UTF-8
+mapping may be judged by that one alone, if each stretch by itself then gains enough.
+
+The pair counts go into tables of fixed size (count-min sketches of two rows), so what the tasks get does not grow
 with the corpus.
 """
 
@@ -24,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Log2 of the buckets of each of the sketch's two rows; 2 * 4 * 2**21 bytes = 16 MB whatever the corpus.
+#: Log2 of the buckets of each of a sketch's two rows; two sketches of 2 * 4 * 2**21 bytes = 32 MB whatever the corpus.
 SKETCH_BITS = 21
 #: Surprisal (bits) from which a pair speaks for a segment; pairs in fewer than one document in 2**TYPICAL.
-TYPICAL = 6.0
+TYPICAL = 5.0
 #: Bits that a document's segments must gain, in all and per changed character, for a mapping to count.
 GAIN, GAIN_PER_CHAR = 9.0, 2.0
 #: Bits for a mapping between single-byte encodings, which any text survives; and what a segment that it makes less
 #: probable counts against it at most.
 GAIN_SINGLE, LOSS = 24.0, 4.0
+#: Share of a character's documents in which it stands outside runs that decode as UTF-8, at most, to belong to these.
+ELSEWHERE = 0.25
 #: Times that text may have been read wrongly one after the other.
 ROUNDS = 4
 #: Share of a segment's bits that a UTF-8 mapping must gain to be the only explanation tried.
@@ -52,6 +58,7 @@ WIDE = ("gbk", "shift_jis", "euc_jp", "big5", "euc_kr")
 _ALL = (1 << 64) - 1
 _GAP = frozenset(" \t\n\r\u00a0")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+_RUN = re.compile(r"[^\x00-\x7f]{2,}")
 _ISLAND = re.compile(r"[^\x00-\x7f]+(?:[\x20-\x7e][^\x00-\x7f]+)*")
 
 
@@ -94,8 +101,21 @@ def _single_byte_maps() -> dict[str, list[tuple[str, dict[int, str | None]]]]:
     return out
 
 
+def _utf8_runs() -> re.Pattern:
+    """Runs that are well-formed UTF-8 from end to end under one of READ_AS, as characters."""
+    ranges = [((0xC2, 0xDF), (0x80, 0xBF)), ((0xE0, 0xE0), (0xA0, 0xBF), (0x80, 0xBF)), ((0xE1, 0xEC), (0x80, 0xBF), (0x80, 0xBF)), ((0xED, 0xED), (0x80, 0x9F), (0x80, 0xBF)), ((0xEE, 0xEF), (0x80, 0xBF), (0x80, 0xBF)),
+              ((0xF0, 0xF0), (0x90, 0xBF), (0x80, 0xBF), (0x80, 0xBF)), ((0xF1, 0xF3), (0x80, 0xBF), (0x80, 0xBF), (0x80, 0xBF)), ((0xF4, 0xF4), (0x80, 0x8F), (0x80, 0xBF), (0x80, 0xBF))]
+    codecs = []
+    for table in _BYTES.values():
+        of = lambda low, high, t=table: "".join(re.escape(c) for c, b in t.items() if low <= b <= high)
+        parts = [[of(*r) for r in sequence] for sequence in ranges]
+        codecs.append("(?:" + "|".join("".join(f"[{c}]" for c in part) for part in parts if all(part)) + ")+")
+    return re.compile("|".join(codecs))
+
+
 _BYTES = _byte_maps()
 _SINGLE = _single_byte_maps()
+_DECODES = _utf8_runs()
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -115,13 +135,30 @@ def _buckets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys & low).astype(np.int64), ((keys >> np.uint64(32)) & low).astype(np.int64) + (1 << SKETCH_BITS)
 
 
-def distinct_pairs(text: str) -> np.ndarray:
-    """Keys of the distinct adjacent pairs with a character beyond ASCII; the text's ends count as line ends."""
+def distinct_pairs(text: str, left_out: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Keys of the distinct adjacent pairs with a character beyond ASCII, and of those characters by themselves (with 0);
+    the text's ends count as line ends. Pairs and characters that touch a stretch left out do not count."""
     if text.isascii():
         return np.zeros(0, np.uint64)
     codes = codes_of("\n" + text + "\n")
-    at = np.flatnonzero((codes[:-1] > 127) | (codes[1:] > 127))
-    return np.unique(_pair_keys(_fold(codes[at]), _fold(codes[at + 1])))
+    use = (codes[:-1] > 127) | (codes[1:] > 127)
+    own = codes > 127
+    for a, b in left_out:
+        use[a : b + 1] = False
+        own[a + 1 : b + 1] = False
+    at = np.flatnonzero(use)
+    own = np.unique(codes[own])
+    return np.unique(np.concatenate([_pair_keys(_fold(codes[at]), _fold(codes[at + 1])), _pair_keys(own, np.zeros_like(own))]))
+
+
+def decodable_runs(text: str) -> list[tuple[int, int]]:
+    """Runs beyond ASCII that are well-formed UTF-8 from end to end under one of READ_AS or WIDE."""
+    out = []
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if _DECODES.fullmatch(run) or (max(run) > "\u2e7f" and any(_wide_read_as(run, read) != run for read in WIDE)):
+            out.append(m.span())
+    return out
 
 
 def _fold(codes: np.ndarray) -> np.ndarray:
@@ -130,10 +167,11 @@ def _fold(codes: np.ndarray) -> np.ndarray:
 
 
 class PairModel:
-    """Surprisal of adjacent characters from sketched document frequencies."""
+    """Surprisal of adjacent characters from sketched document frequencies. ``other`` is the model of the same texts
+    without the runs that decode as UTF-8, if there is one."""
 
-    def __init__(self, sketch: np.ndarray, documents: int):
-        self.sketch, self.documents = sketch, max(1, documents)
+    def __init__(self, sketch: np.ndarray, documents: int, other: PairModel | None = None):
+        self.sketch, self.documents, self.other = sketch, max(1, documents), other or self
         self.known: dict[str, float] = {}
 
     def cost(self, pair: str) -> float:
@@ -146,17 +184,24 @@ class PairModel:
                 got = GONE
             else:
                 x, y = (48 if 48 <= c <= 57 else c for c in map(ord, pair))
-                x = ((x << 32) | y) * 0x9E3779B97F4A7C15 & _ALL
-                x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _ALL  # as _pair_keys
-                x ^= x >> 32
-                low = (1 << SKETCH_BITS) - 1
-                n = min(float(self.sketch[x & low]), float(self.sketch[((x >> 32) & low) + low + 1]))
-                got = math.log2((self.documents + 1) / (n + 0.5))
+                got = math.log2((self.documents + 1) / (self.seen(x, y) + 0.5))
             if len(self.known) > MEMORY:
                 self.known.clear()
             self.known[pair] = got
         return got
 
+    def seen(self, x: int, y: int) -> float:
+        """Documents with the pair x, y, or with the character x if y is 0."""
+        x = ((x << 32) | y) * 0x9E3779B97F4A7C15 & _ALL
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _ALL  # as _pair_keys
+        x ^= x >> 32
+        low = (1 << SKETCH_BITS) - 1
+        return min(float(self.sketch[x & low]), float(self.sketch[((x >> 32) & low) + low + 1]))
+
+    def decodes(self, segment: str) -> bool:
+        """Whether some character of the segment is at home in runs that decode as UTF-8, and seldom elsewhere."""
+        return any(self.other.seen(c, 0) <= ELSEWHERE * self.seen(c, 0) for c in {ord(c) for c in segment if c > "\x7f"})
+
     def costs(self, text: str) -> list[float]:
         cost = self.cost
         return [cost(text[i : i + 2]) for i in range(len(text) - 1)]
@@ -285,8 +330,8 @@ class Restorer:
 
     def segments(self, text: str) -> list[tuple[int, int]]:
         """Improbable stretches, widened to whole islands of characters beyond ASCII (single ASCII characters between
-        two of them belong to the island)."""
-        scores = self.model.array("\n" + text + "\n") - self.typical
+        two of them belong to the island). What decodes as UTF-8 does not make itself probable."""
+        scores = self.model.other.array("\n" + text + "\n") - self.typical
         rare = np.flatnonzero(scores > 0)
         if not len(rare):
             return []
@@ -305,12 +350,19 @@ class Restorer:
             key = ("0" if before.isdigit() else before) + segment + ("0" if after.isdigit() else after)
         got = self.tried.get(key)
         if got is None:
-            total = self.model.total
+            total, other = self.model.total, self.model.other
             base = total(key)
             got = [(pair, base - total(before + new + after), new) for pair, new in utf8_mappings(segment)]
+            if other is not self.model and got:
+                most = other.total(key)
+                # frequent garbling is judged without itself; a little gain is chance there
+                if most > base and self.model.decodes(segment):
+                    alone = [most - other.total(before + new + after) for _, _, new in got]
+                    got = [(pair, max(gain, g) if g >= GAIN else gain, new) for (pair, gain, new), g in zip(got, alone, strict=True)]
             # what is well-formed UTF-8 nearly throughout needs no other explanation; spaces of any kind say nothing about
             # other encodings, and a symbol that stands by itself only something about one in which it is a symbol too
-            if segment.strip() and max((g for _, g, _ in got), default=0.0) < ENOUGH * base:
+            rare = other is self.model or any(x > self.typical for x in self.model.costs(key))
+            if rare and segment.strip() and max((g for _, g, _ in got), default=0.0) < ENOUGH * base:
                 alone = before in _GAP and after in _GAP and all(c in _GAP or unicodedata.category(c)[0] in "SZC" for c in segment)
                 for pair, new in other_mappings(segment):
                     if not alone or all(c < "\x80" or unicodedata.category(c)[0] in "SN" for c in new):
@@ -376,24 +428,33 @@ class _Evidence:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (bucket, documents); bucket -1 counts the documents themselves."""
+    """Distinct texts (null: one in plain ASCII) to (bucket, documents), the buckets of both sketches one after the
+    other; bucket -1 counts the documents themselves."""
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t]
-        keys = [distinct_pairs(t) for t in texts]
-        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-        where, n = np.unique(np.concatenate(_buckets(keys)), return_counts=True)
+        found = [np.zeros(0, np.int64)]
+        for t in texts:
+            runs = decodable_runs(t)
+            keys = distinct_pairs(t)
+            found += _buckets(keys)
+            found += (x + (2 << SKETCH_BITS) for x in _buckets(distinct_pairs(t, runs) if runs else keys))
+        where, n = np.unique(np.concatenate(found), return_counts=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(where, -1).astype(np.int32)), pa.array(np.append(n, len(texts)).astype(np.int64))], ["bucket", "n"]
+            [pa.array(np.append(where, -1).astype(np.int32)), pa.array(np.append(n, batch.num_rows).astype(np.int64))], ["bucket", "n"]
         )
 
 
 def pair_model(texts: DataFrame, text: str) -> PairModel:
-    """The pair model of all texts. At most 2**(SKETCH_BITS + 1) counts reach the driver, whatever the corpus."""
-    counts = texts.select(F.col(text)).mapInArrow(_counter, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(2 << SKETCH_BITS, dtype=np.float32)
+    """The pair model of all distinct texts. At most 2**(SKETCH_BITS + 2) counts reach the driver, whatever the corpus."""
+    # texts in plain ASCII only count, so their hash travels for them
+    plain = F.length(text) == F.octet_length(text)
+    once = texts.select(F.when(~plain, F.col(text)).alias("t"), F.when(plain, F.md5(text)).alias("h")).distinct()
+    counts = once.select("t").mapInArrow(_counter, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(4 << SKETCH_BITS, dtype=np.float32)
     where, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
     sketch[where[where >= 0]] = n[where >= 0]
-    return PairModel(sketch, int(n[where < 0].sum()))
+    documents = int(n[where < 0].sum())
+    return PairModel(sketch[: 2 << SKETCH_BITS], documents, PairModel(sketch[2 << SKETCH_BITS :], documents))
 
 
 def garbled_texts(df: DataFrame, *, key: str, text: str) -> DataFrame:
