@@ -142,3 +142,26 @@ def test_frequent_garbling_does_not_hide_itself(spark):
         df = spark.createDataFrame(list(enumerate(texts + garbled)), "doc_id bigint, text string")
         got = {r["key"] for r in M.garbled_texts(df, key="doc_id", text="text").collect()}
         assert got == set(range(600, 1000))
+
+
+def test_words_garbled_within_a_sentence(cases, restorer):
+    right = "Кто знает, зачем Проверка отбрасывает историю сессии Награда посчитана дважды ещё ответ"
+    words = right.split(" ")
+    for reading in ("koi8-r<cp1251", "cp1252<cp1251", "cp1252<utf-8"):
+        read = READINGS[reading][1]
+        text = " ".join([*words[:3], read(" ".join(words[3:6])), *words[6:]])
+        new, found, _ = restorer.restore(text)
+        assert found and new == right, (reading, new, found)
+    assert restorer.restore(right)[1] == []
+
+
+def test_stretches_lie_within_their_island_at_borders_of_runs(cases, restorer):
+    for text in cases[0]:
+        for (a, b), stretches in restorer.segments(text):
+            at = a
+            for low, high in stretches:
+                assert at <= low < high <= b
+                assert not text[low].isascii() and not text[high - 1].isascii()
+                assert (low == a or text[low - 1].isascii()) and (high == b or text[high].isascii())
+                at = high
+            assert stretches

@@ -3,7 +3,8 @@
 All documents together give, per pair of adjacent characters, the number of documents that have it. A pair's surprisal
 (its mutual information and the rarity of its two characters, -log2 of the joint frequency) is high wherever bytes
 were read in another encoding than their own. Maximum-scoring segments of surprisal less a threshold isolate such
-stretches, and only there the inverse mappings are tried: encode in the encoding it was read in, decode in another,
+stretches, widened to whole runs of characters beyond ASCII, and only there the inverse mappings are tried, and on the
+island of runs about them if that gains more: encode in the encoding it was read in, decode in another,
 once or repeatedly. A mapping counts if it makes the segments of a document so much more probable under the corpus
 that chance cannot explain it. Characters that only a lossy reading leaves (U+FFFD) mark a document as affected too.
 
@@ -59,6 +60,7 @@ _ALL = (1 << 64) - 1
 _GAP = frozenset(" \t\n\r\u00a0")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 _ISLAND = re.compile(r"[^\x00-\x7f]+(?:[\x20-\x7e][^\x00-\x7f]+)*")
 
 
@@ -328,9 +330,10 @@ class Restorer:
         self.typical = min(TYPICAL, 0.5 * float(np.log2(model.documents + 1)))
         self.tried: dict[str, list] = {}
 
-    def segments(self, text: str) -> list[tuple[int, int]]:
-        """Improbable stretches, widened to whole islands of characters beyond ASCII (single ASCII characters between
-        two of them belong to the island). What decodes as UTF-8 does not make itself probable."""
+    def segments(self, text: str) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+        """Islands of characters beyond ASCII (single ASCII characters between two of them belong to the island) with
+        their improbable stretches, widened to whole runs, for a character is more than one byte in many encodings.
+        What decodes as UTF-8 does not make itself probable."""
         scores = self.model.other.array("\n" + text + "\n") - self.typical
         rare = np.flatnonzero(scores > 0)
         if not len(rare):
@@ -339,8 +342,22 @@ class Restorer:
         for m in _ISLAND.finditer(text):
             a, b = m.start(), m.end() + 1  # pairs a to b of the framed text touch the island
             k = int(np.searchsorted(rare, a))
-            if k < len(rare) and rare[k] < b and best_segments(scores[a:b].tolist()):
-                out.append(m.span())
+            if k == len(rare) or rare[k] >= b:
+                continue
+            runs = [x.span() for x in _BEYOND.finditer(text, a, b - 1)]
+            if len(runs) == 1:
+                out.append((m.span(), [m.span()]))
+                continue
+            stretches: list[tuple[int, int]] = []
+            for i, j in best_segments(scores[a:b].tolist()):
+                # pair i joins the characters before and at i: those whose pairs are all improbable, or a border's run
+                low, high = a + i, max(a + i + 1, a + j - 1)
+                touched = [r for r in runs if r[0] < high and r[1] > low] or [r for r in runs if r[0] <= high and r[1] >= low]
+                if stretches and touched[0][0] < stretches[-1][1]:
+                    stretches[-1] = stretches[-1][0], max(stretches[-1][1], touched[-1][1])
+                else:
+                    stretches.append((touched[0][0], touched[-1][1]))
+            out.append((m.span(), stretches))
         return out
 
     def _gains(self, before: str, segment: str, after: str) -> tuple[list, dict]:
@@ -375,20 +392,43 @@ class Restorer:
                 self.tried[key] = got
         return got
 
+    def _tried(self, text: str, stretches: list[tuple[int, int]]) -> tuple[dict, dict]:
+        """Per mapping what it gains and the places it changes, and what it costs in other stretches."""
+        gained: dict[tuple[str, str], tuple[float, list]] = {}
+        lost: dict[tuple[str, str], float] = {}
+        for a, b in stretches:
+            before, after = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
+            gains, costs = self._gains(before, text[a:b], after)
+            for pair, cost in costs.items():
+                lost[pair] = lost.get(pair, 0.0) + cost
+            for pair, gain, new in gains:
+                sum_, places = gained.get(pair, (0.0, []))
+                gained[pair] = sum_ + gain, [*places, (a, b, new)]
+        return gained, lost
+
     def once(self, text: str) -> tuple[str, tuple[str, str] | None, float]:
         """The text with the mapping undone that gains most, that mapping, and the gain."""
         found: dict[tuple[str, str], _Evidence] = {}
         against = []
-        for a, b in self.segments(text):
-            before, after = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
-            gains, costs = self._gains(before, text[a:b], after)
+        for island, stretches in self.segments(text):
+            gains, costs = self._tried(text, stretches)
+            if stretches != [island]:
+                whole, more = self._tried(text, [island])
+                for pair, (gain, places) in whole.items():
+                    if pair not in gains or gain > gains[pair][0] + costs.get(pair, 0.0):
+                        gains[pair] = gain, places
+                        costs.pop(pair, None)
+                for pair, cost in more.items():
+                    if pair not in gains:
+                        costs.setdefault(pair, cost)
             against.append(costs)
-            for pair, gain, new in gains:
+            for pair, (gain, places) in gains.items():
                 e = found.get(pair)
                 if e is None:
                     e = found[pair] = _Evidence()
                 e.gain += gain
-                e.places.append((a, b, new))
+                e.islands += 1
+                e.places += places
         good = {p: e for p, e in found.items() if e.holds(p, text)}
         if not good:
             return text, None, 0.0
@@ -416,6 +456,7 @@ class _Evidence:
 
     def __init__(self) -> None:
         self.gain = 0.0
+        self.islands = 0
         self.places: list[tuple[int, int, str]] = []
 
     def holds(self, pair: tuple[str, str], text: str) -> bool:
@@ -424,7 +465,7 @@ class _Evidence:
         if self.gain < GAIN_SINGLE:
             return False
         changed = [c for a, b, _ in self.places for c in text[a:b] if c > "\x7f" and not c.isspace()]
-        return self.gain >= GAIN_PER_CHAR * len(changed) and (len(set(changed)) > 1 or len(self.places) > 2)
+        return self.gain >= GAIN_PER_CHAR * len(changed) and (len(set(changed)) > 1 or self.islands > 2)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
