@@ -37,17 +37,24 @@ def value_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = pairs_of(_trials(spark, folder).where(F.col("bench") == 7), pair=["pair"], value="elapsed_seconds").where("complete")
-    df = bootstrap_by_hash(pairs, value="delta", order="pair", resamples=200)
-    return df.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n_resamples")
+    """Per benchmark the interval of the mean delta of its complete pairs."""
+    pairs = pairs_of(_trials(spark, folder), pair=["bench", "pair"], value="elapsed_seconds").where("complete")
+    df = bootstrap_by_hash(pairs, value="delta", order="pair", resamples=10_000, by=["bench"])
+    return df.select("bench", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n_resamples")
 
 
 def schedule(spark: SparkSession, folder: str) -> DataFrame:
-    """Where the arms of the first forty trials differ from a balanced plan."""
-    plan = [(i, m) for i, m in enumerate(m for arms in order_plan(20, 0) for m in arms)]
-    expected = spark.createDataFrame(plan, "position bigint, mode string")
-    actual = table(spark, folder, "events").where(F.col("event_id") < 40).select(F.col("event_id").alias("position"), F.when(F.col("event_id") % 2 == 0, "off").otherwise("on").alias("mode"))
-    return schedule_errors(actual, expected, position="position", fields=["mode"])
+    """Where the arms of each benchmark's trials differ from balanced plans of twenty pairs, one after the other."""
+    plan = [m for arms in order_plan(20, 0) for m in arms]
+    t = table(spark, folder, "events").select((F.floor(F.col("event_id") / 2) % 50).alias("bench"), "event_id", F.when(F.col("event_id") % 2 == 0, "off").otherwise("on").alias("mode"))
+    actual = ranked(t, within=["bench"], order=["event_id"])
+    # every benchmark is to run whole plans
+    rounds = actual.groupBy("bench").agg(F.floor(F.max("position") / len(plan)).alias("last"))
+    expected = rounds.select("bench", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("round")).select(
+        "bench", "round", F.posexplode(F.array(*map(F.lit, plan))).alias("i", "mode")
+    )
+    expected = expected.select("bench", (F.col("round") * len(plan) + F.col("i")).alias("position"), "mode")
+    return schedule_errors(actual, expected, position="position", fields=["mode"], by=["bench"])
 
 
 def trial_errors(spark: SparkSession, folder: str) -> DataFrame:
