@@ -71,3 +71,25 @@ def test_overlap_of_nothing_and_empty_tables(spark):
     assert found(spark, [], [(1, "a " * 20, "")]) == [] and found(spark, [(1, "a " * 20, "")], []) == []
     with pytest.raises(ValueError):
         found(spark, [], [], masks=("101", "11"))
+
+
+def test_substitutions_anywhere_against_brute_force_alignment(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(60)), "") for i in range(8)]
+    docs = []
+    for k in range(96):
+        w = items[k % 8][1].split(" ")[20:40] if k % 2 else items[k % 8][1].split(" ")
+        rate, kind = (0.1, 0.15, 0.2)[k % 3], k // 3 % 4
+        at = [i for i in range(len(w)) if (rng.random() < rate, i % 6 == 5, i % 12 in (10, 11), i % 4 == 3)[kind]]
+        for i in at:
+            w[i] = f"other{rng.randrange(10**6)}"
+        docs.append((k, " ".join(["before"] * rng.randrange(5) + w), ""))
+    want = set()
+    for d, a, _ in docs:
+        for i, b, _ in items:
+            x, y = ([w.encode() for w in words(t)] for t in (a, b))
+            if any(overlap(x, y, s)[2] >= 12 for s in range(-len(y) + 1, len(x))):
+                want.add((d, i))
+    got = {(r["document"], r["item"]) for r in found(spark, docs, items)}
+    assert got == want and len(want) > 40
+    assert len(want & {(r["document"], r["item"]) for r in found(spark, docs, items, masks=MASKS)}) < 0.9 * len(want)

@@ -3,8 +3,11 @@
 Words are hashed straight from the UTF-8 buffers of the Arrow batches. A mask picks some of ``span`` consecutive words
 and ignores the rest; equal masked hashes of a held-out text and a document mark a diagonal on which the two are laid
 over one another, and the overlap is verified on the words themselves: its longest exact run, and the best stretch
-that tolerates substitutions. Any run of ``span`` equal words hits under every mask, so exact runs of that length
-cannot be missed; runs with substitutions are met wherever a mask ignores the substituted places.
+that tolerates substitutions. Such a stretch begins and ends with more equal words than a substitution costs (a
+shorter run would not be worth its substitution), so seeds of ENDS consecutive words, two of them on one diagonal as far
+apart as a stretch is long at least, miss none, wherever the substitutions stand. Masks are for exact runs: any run of
+``span`` equal words hits under every mask, with fewer diagonals to verify; substitutions are then met only where a mask
+ignores them.
 
 The held-out side is a stated query set: it is indexed in blocks of at most ``block_words`` words, and each block is
 sent to the tasks and held against all documents in one pass without a shuffle.
@@ -26,6 +29,8 @@ MASKS = ("111011010111", "110111101011")
 BLOCK_WORDS = 2_000_000
 #: A stretch gains 1 for an equal word and loses this much for a substituted one.
 SUBSTITUTION = 3
+#: Words of an overlap, and equal words at both its ends, at least.
+LEAST, ENDS = 12, "1" * (SUBSTITUTION + 1)
 
 _RNG = np.random.default_rng(20_310_301)
 _PLACE = _RNG.integers(1, 2**63, size=(64, 256), dtype=np.uint64) | np.uint64(1)
@@ -100,8 +105,9 @@ class SeedIndex:
             bits[seed >> np.uint64(42)] = True
             self.bits.append(np.packbits(bits))
 
-    def diagonals(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, word of the document minus word of the item) that some mask hits."""
+    def diagonals(self, hashes: np.ndarray, bounds: np.ndarray, apart: int = 0) -> np.ndarray:
+        """Distinct (document, item, word of the document minus word of the item) that some mask hits, first and last
+        at least ``apart`` words from one another."""
         found = []
         for k, mask in enumerate(self.masks):
             seed, text, at = seeds_of(hashes, bounds, mask, k + 1)
@@ -114,8 +120,14 @@ class SeedIndex:
                 continue
             own = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             place = at[hit] - bounds[text[hit]]
-            found.append(np.stack([text[hit], self.text[k][own], place - self.at[k][own]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            found.append(np.stack([text[hit], self.text[k][own], place - self.at[k][own], place], axis=1))
+        if not found:
+            return np.zeros((0, 3), np.int64)
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 0] * len(self.ids) + rows[:, 1]))]
+        first = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+        last = np.append(first[1:], len(rows)) - 1
+        return rows[first[rows[last, 3] - rows[first, 3] >= apart], :3]
 
 
 def overlap(document: list[bytes], item: list[bytes], shift: int) -> tuple[int, int, int, int]:
@@ -140,14 +152,14 @@ def overlap(document: list[bytes], item: list[bytes], shift: int) -> tuple[int,
     return longest, *found
 
 
-def _matches(index, id_type: pa.DataType, least: int):
+def _matches(index, id_type: pa.DataType, least: int, apart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: SeedIndex = index.value
         for batch in batches:
             folded, start, end, hashes, bounds = words_of(batch.column(1))
             rows: dict[tuple[int, int], tuple] = {}
             current, words = -1, []
-            for text, item, shift in own.diagonals(hashes, bounds).tolist():
+            for text, item, shift in own.diagonals(hashes, bounds, apart).tolist():
                 if text != current:
                     i, j = bounds[text], bounds[text + 1]
                     raw = folded[start[i] : end[j - 1]].tobytes()
@@ -176,17 +188,19 @@ def leaked_passages(
     document_text: str,
     item_id: str,
     item_text: str,
-    masks: Sequence[str] = MASKS,
+    masks: Sequence[str] | None = None,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document and item whose texts overlap in at least a mask's span of words: document, item,
+    """One row per document and item whose texts overlap in at least LEAST words, or a mask's span: document, item,
     exact_words (longest run of equal words), and start_word, overlap_words and substitutions of the best stretch.
 
-    A document and item with a common run of span words are always found. Nulls: null and empty texts contain nothing;
+    All are found if no masks are given; with masks, all that have a common run of span words. Nulls: null and empty texts contain nothing;
     null ids are kept as they are. Repeated rows of either side count once. Texts of any length are read whole; ties
     between stretches go to the one with more equal words, then the longer, then the later. Empty tables give no rows;
     further columns are ignored.
     """
+    least, apart = (LEAST, LEAST - len(ENDS)) if masks is None else (len(masks[0]), 0)
+    masks = (ENDS,) if masks is None else masks
     span = len(masks[0])
     if any(len(m) != span or set(m) - {"0", "1"} or "1" not in m for m in masks):
         raise ValueError("masks must be of one length, of 0 and 1")
@@ -207,7 +221,7 @@ def leaked_passages(
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         index = spark.sparkContext.broadcast(SeedIndex([r["item"] for r in rows], [r["text"] for r in rows], masks))
-        part = texts.mapInArrow(_matches(index, id_type, span), schema)
+        part = texts.mapInArrow(_matches(index, id_type, least, apart), schema)
         found = part if found is None else found.unionByName(part)
     # a row per pair, also where an id stands in several rows
     return found.groupBy("document", "item").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnledger.llm.crosssplit import coverage, cross_split_pairs, prompts_of
 from turnledger.llm.encoding import encode_texts
-from turnledger.llm.leakage import leaked_passages
+from turnledger.llm.leakage import MASKS, leaked_passages
 from turnledger.llm.mojibake import garbled_texts
 from turnledger.llm.packing import length_buckets, pack, pieces_of
 from turnledger.llm.spans import shared_spans
@@ -100,14 +100,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents").select("doc_id", "text"), text="text")
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+def _leaks(spark: SparkSession, folder: str, **how) -> DataFrame:
     return leaked_passages(
-        table(spark, folder, "documents"), table(spark, folder, "eval_items"), document_id="doc_id", document_text="text", item_id="item_id", item_text="text"
+        table(spark, folder, "documents"), table(spark, folder, "eval_items"), document_id="doc_id", document_text="text", item_id="item_id", item_text="text", **how
     )
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder).where(F.col("exact_words") >= 12).select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
+    return _leaks(spark, folder, masks=MASKS).where(F.col("exact_words") >= 12).select(F.col("document").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p7_overlaps(spark: SparkSession, folder: str) -> DataFrame:
