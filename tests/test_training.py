@@ -172,29 +172,41 @@ def test_continuations(spark):
 
 
 def test_bootstrap_and_schedule_of_every_benchmark(spark, tmp_path):
-    import hashlib
     from collections import defaultdict
 
     import numpy as np
 
-    from turnledger.operators.paired import bootstrap_by_hash
+    from turnledger.operators.paired import PRIME, WEIGHT_FROM, bootstrap_by_hash
     from turnledger.plans import measures
 
     n = 4_460  # 50 benchmarks of 44 or 45 pairs
     rows = [(i, float(i * 7919 % 101), "t") for i in range(n) if i != 9]
     spark.createDataFrame(rows, "event_id bigint, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     pairs = pairs_of(measures._trials(spark, str(tmp_path)), pair=["bench", "pair"], value="elapsed_seconds").where("complete")
-    value, deltas, arms = {i: v for i, v, _ in rows}, defaultdict(list), defaultdict(list)
+
+    def weight(k, r):
+        x = pow(k * 48271 + r * 69621 + 11, 3, PRIME)
+        x = pow(x + k * 40692 + r * 12211, 3, PRIME)
+        return sum(x >= w for w in WEIGHT_FROM)
+
+    value, deltas, arms, keys = {i: v for i, v, _ in rows}, defaultdict(list), defaultdict(list), defaultdict(list)
     for p in range(n // 2):
         if 2 * p in value and 2 * p + 1 in value:
             deltas[p % 50].append(value[2 * p + 1] - value[2 * p])
+            keys[p % 50].append(p)
         arms[p % 50] += [m for i, m in ((2 * p, "off"), (2 * p + 1, "on")) if i in value]
-    pick = lambda r, i, n: int(hashlib.md5(f"{r}:{i}".encode()).hexdigest()[:7], 16) % n
     got = {r["bench"]: (r["low"], r["high"], r["n_resamples"]) for r in bootstrap_by_hash(pairs, value="delta", order="pair", resamples=30, by=["bench"]).collect()}
     assert set(got) == set(range(50))
+    seen = []
     for b, d in deltas.items():
-        means = [np.mean([d[pick(r, i, len(d))] for i in range(len(d))]) for r in range(30)]
+        means = []
+        for r in range(30):
+            w = [weight(k, r) for k in keys[b]]
+            seen += w
+            means.append(np.average(d, weights=w))
         assert got[b] == pytest.approx((*np.quantile(means, (0.025, 0.975)), 30))
+    # Poisson with mean 1
+    assert np.mean(seen) == pytest.approx(1, abs=0.02) and np.var(seen) == pytest.approx(1, abs=0.03) and np.mean(np.array(seen) == 0) == pytest.approx(np.exp(-1), abs=0.01)
     plan = [m for arms in order_plan(20, 0) for m in arms]
     want = {(b, i) for b, a in arms.items() for i in range(-(-len(a) // 40) * 40) if i >= len(a) or a[i] != plan[i % 40]}
     assert {(r["bench"], r["position"]) for r in measures.schedule(spark, str(tmp_path)).collect()} == want and max(i for _, i in want) > 40

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.operators.paired import bootstrap_by_hash, order_plan, pair_statistics, pairs_of, schedule_errors, trial_error
+from turnledger.operators.paired import PRIME, WEIGHT_FROM, bootstrap_by_hash, order_plan, pair_statistics, pairs_of, schedule_errors, trial_error
 from turnledger.operators.ranking import ranked
 from turnledger.operators.rounds import step_continuity
 from turnledger.session import table
@@ -111,17 +111,24 @@ QUERIES = {f.__name__: f for f in (paired_deltas, mismatched_pairs, value_percen
 
 _P = "p AS (SELECT (event_id // 2) % 50 AS bench, event_id // 2 AS pair, max(value) FILTER (event_id % 2 = 1) AS on_, max(value) FILTER (event_id % 2 = 0) AS off_, count(*) AS c, count(DISTINCT event_type) AS k FROM events GROUP BY ALL)"
 _PLAN = ", ".join(f"({i}, '{m}')" for i, m in enumerate(m for arms in order_plan(20, 0) for m in arms))
+_WEIGHT = " + ".join(f"(h >= {x})::INT" for x in WEIGHT_FROM)
 ORACLE = {
     "paired_deltas": f"""WITH {_P} SELECT bench, CASE WHEN count(*) FILTER (c = 2) < 2 OR count(*) FILTER (c <> 2) > 0 THEN 'INCOMPLETE' ELSE 'COMPARABLE' END AS status, count(*) FILTER (c = 2) AS n_pairs,
   count(*) FILTER (c <> 2) AS n_incomplete, 0 AS n_mismatched, round(avg(on_), 6) AS on_mean, round(avg(off_), 6) AS off_mean, round(avg(on_ - off_), 6) AS delta_mean,
   round(median(on_), 6) AS on_median, round(median(off_), 6) AS off_median, round(median(on_ - off_), 6) AS delta_median, round(100 * avg(on_ - off_) / avg(off_), 6) AS delta_percent FROM p GROUP BY bench""",
     "mismatched_pairs": f"WITH {_P} SELECT bench, count(*) AS n_pairs, count(*) FILTER (k > 1) AS n_mismatched FROM p WHERE c = 2 GROUP BY bench",
     "value_percentiles": "SELECT event_type, median(value) AS median, quantile_cont(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY event_type",
-    "bootstrap": f"""WITH {_P}, d AS (SELECT on_ - off_ AS v, row_number() OVER (ORDER BY pair) - 1 AS k, count(*) OVER () AS n FROM p WHERE bench = 7 AND c = 2),
-r AS (SELECT r, i, CAST('0x' || substr(md5(r || ':' || i), 1, 7) AS BIGINT) % n AS k FROM range(0, 200) AS x(r), (SELECT n, unnest(range(0, n)) AS i FROM (SELECT DISTINCT n FROM d))),
-m AS (SELECT r, avg(v) AS m FROM r JOIN d USING (k) GROUP BY r)
-SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, count(*) AS n_resamples FROM m""",
-    "schedule": f"SELECT CAST(p AS BIGINT) AS position FROM (VALUES {_PLAN}) AS x(p, m) LEFT JOIN events ON event_id = p WHERE m IS DISTINCT FROM CASE WHEN event_id % 2 = 0 THEN 'off' WHEN event_id % 2 = 1 THEN 'on' END",
+    "bootstrap": f"""WITH {_P}, d AS (SELECT bench, pair AS k, on_ - off_ AS v FROM p WHERE c = 2),
+x AS (SELECT bench, k, v, r, (k * 48271 + r * 69621 + 11) % {PRIME} AS x FROM (SELECT *, unnest(range(0, 10000)) AS r FROM d)),
+y AS (SELECT *, (x * x % {PRIME} * x % {PRIME} + k * 40692 + r * 12211) % {PRIME} AS y FROM x),
+w AS (SELECT bench, r, v, y * y % {PRIME} * y % {PRIME} AS h FROM y),
+m AS (SELECT bench, r, sum(v * ({_WEIGHT})) / sum({_WEIGHT}) AS m FROM w WHERE h >= {WEIGHT_FROM[0]} GROUP BY bench, r)
+SELECT bench, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, count(*) AS n_resamples FROM m GROUP BY bench""",
+    "schedule": f"""WITH t AS (SELECT event_id, (event_id // 2) % 50 AS bench, CASE WHEN event_id % 2 = 0 THEN 'off' ELSE 'on' END AS mode FROM events),
+a AS (SELECT bench, mode, row_number() OVER (PARTITION BY bench ORDER BY event_id) - 1 AS position FROM t),
+n AS (SELECT bench, unnest(range(0, max(position) // 40 + 1)) AS turn FROM a GROUP BY bench),
+e AS (SELECT bench, turn * 40 + i AS position, m FROM n, (VALUES {_PLAN}) AS x(i, m))
+SELECT bench, position FROM e FULL JOIN a USING (bench, position) WHERE m IS DISTINCT FROM mode""",
     "trial_errors": """SELECT CASE i WHEN 1 THEN 'mode' WHEN 2 THEN 'elapsed' WHEN 3 THEN 'timing' WHEN 4 THEN CASE WHEN NOT on_ THEN 'off_arm_collected' END WHEN 5 THEN CASE WHEN on_ THEN 'callbacks' END
   WHEN 6 THEN CASE WHEN on_ THEN 'callback_timing' END WHEN 7 THEN 'turns' WHEN 8 THEN CASE WHEN on_ THEN 'incomplete' END END AS error, count(*) AS n
 FROM (SELECT (event_id // 2) % 23 AS i, event_id % 2 = 1 AS on_ FROM events) GROUP BY ALL""",

@@ -20,6 +20,9 @@ DEFAULTS = {
 }
 
 
+_WRITTEN: list[str] = []
+
+
 def build_session(app: str = "turnledger", master: str | None = None, **conf: object) -> SparkSession:
     """A session with DEFAULTS; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -31,9 +34,12 @@ def build_session(app: str = "turnledger", master: str | None = None, **conf: ob
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master may do without: it gets a temporary
+    folder. Anywhere else that would be each machine's own disk, so it is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="turnledger-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(local)
@@ -42,13 +48,27 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as Parquet below the shared folder and reads it back: cuts lineage, survives lost executors. What is
+    written goes when the application ends, or with ``discard``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _files(spark, path, "deleteOnExit")
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str, call: str, *more) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(where.getFileSystem(spark._jsc.hadoopConfiguration()), call)(where, *more)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes everything written so far. Only for the end of a query: its DataFrames read these files."""
+    while _WRITTEN:
+        _files(spark, _WRITTEN.pop(), "delete", True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
