@@ -10,14 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions.arrays import first_difference, history, valid_tokens, window_around
-from turnledger.functions.scalars import filled
+from turnledger.operators.rules import EVIDENCE, VERSION, first_broken, rules_on
 
-# Fixed values of the contract.
-VERSION = "history-prefix/v1"
-EVIDENCE = ("synthetic", "controlled_upstream_transform", "observed_rollout")
-MODES = ("unknown", "append_only", "history_rewrite")
-POLICIES = ("unknown", "preserved", "truncated")
-ORIGINS = ("captured", "derived")
 #: Statuses, most telling first, with the exit code of each.
 PRIORITY = ("FAIL", "INCONCLUSIVE", "NOT_APPLICABLE", "PASS")
 EXIT_CODES = {"PASS": 0, "FAIL": 1, "ERROR": 2, "INCONCLUSIVE": 3, "NOT_APPLICABLE": 4}
@@ -37,22 +31,9 @@ def _bad_ids(value: Column) -> Column:
     return value.isNotNull() & ~valid_tokens(value)
 
 
-def contract_error(contract: Column) -> Column:
-    return (
-        F.when(contract["mode"].isNotNull() & ~contract["mode"].isin(*MODES), "contract_mode")
-        .when(contract["history_policy"].isNotNull() & ~contract["history_policy"].isin(*POLICIES), "contract_policy")
-    )
-
-
-def boundary_error(boundaries: Column) -> Column:
-    names = F.transform(boundaries, lambda b: b["name"])
-    return F.when(
-        boundaries.isNotNull(),
-        F.when(F.exists(boundaries, lambda b: b.isNull() | ~filled(b["name"])) | (F.size(F.array_distinct(names)) < F.size(names)), "boundary_name")
-        .when(F.exists(boundaries, lambda b: ~F.coalesce(b["origin"].isin(*ORIGINS), F.lit(False))), "boundary_origin")
-        .when(F.exists(boundaries, lambda b: ~valid_tokens(b["input_ids"])), "boundary_tokens")
-        .when(F.exists(boundaries, lambda b: ~filled(b["token_space"])), "boundary_token_space"),
-    )
+def nested_error(boundaries: Column, mode: Column, policy: Column) -> Column:
+    """The first rule that boundaries or contract break, null if none."""
+    return first_broken({"boundaries": boundaries, "contract.mode": mode, "contract.history_policy": policy}.__getitem__, rules_on("boundaries", "contract"))
 
 
 def check_transitions(df: DataFrame) -> DataFrame:
@@ -70,7 +51,7 @@ def check_transitions(df: DataFrame) -> DataFrame:
         for c in names:
             bad = _bad_ids(side[c]) if c.endswith("_ids") else _bad_text(side[c])
             wrong = wrong.when(bad, f"{label}.{c}")
-    wrong = F.coalesce(wrong, boundary_error(marks), contract_error(contract))
+    wrong = F.coalesce(wrong, nested_error(marks, contract["mode"], contract["history_policy"]))
     absent = lambda label, side, names: [F.when(side[c].isNull(), F.lit(f"{label}.{c}")) for c in names]
     missing = F.array_compact(F.array(*absent("previous", before, PREVIOUS), *absent("following", after, FOLLOWING)))
     same = lambda c: before[c] == after[c]

@@ -5,50 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.arrays import valid_tokens
-from turnledger.functions.scalars import filled, is_digest
-from turnledger.operators.contract import EVIDENCE, FOLLOWING, PREVIOUS, PRIORITY, boundary_error, check_transitions, contract_error
+from turnledger.operators.contract import FOLLOWING, PREVIOUS, PRIORITY, check_transitions
+from turnledger.operators.rules import first_broken
 
 KEY = ("trace_id", "sequence")
 SCOPE = ("trace_id", "session_id", "branch_id")
-# Fixed values of the record format.
-RECORDS = ("generation", "capture_gap", "capture_complete")
 
 
 def record_error(has_parent_key: Column | None = None) -> Column:
     """The first rule that a trace record breaks, null for a valid one. has_parent_key: whether the record has the key
     parent_turn_id at all (in tables it always has)."""
-    kind = F.col("record_type")
-    at_least_0 = lambda c: F.coalesce(F.col(c) >= 0, F.lit(False))
-    common = (
-        F.when(~F.coalesce(F.col("trace_version").isin(1, 2) & kind.isin(*RECORDS), F.lit(False)), "version_or_type")
-        .when(~filled(F.col("trace_id")), "trace_id")
-        .when(~F.coalesce(F.col("evidence_kind").isin(*EVIDENCE), F.lit(False)), "evidence_kind")
-        .when(~at_least_0("sequence"), "sequence")
-    )
-    footer = F.when(F.col("trace_version") != 2, "footer_version")
-    for c in ("expected_generations", "generations", "capture_gaps"):
-        footer = footer.when(~at_least_0(c), f"footer_{c}")
-    footer = footer.when(~is_digest(F.col("prefix_sha256")), "footer_digest")
-    gap = F.when(~filled(F.col("reason")), "gap_reason")
-    generation = F.when(F.lit(False), "")
-    for c in ("session_id", "branch_id", "turn_id", "token_space"):
-        generation = generation.when(~filled(F.col(c)), c)
-    parent = F.col("parent_turn_id")
-    if has_parent_key is not None:
-        generation = generation.when(~has_parent_key, "parent_undeclared")
-    generation = (
-        generation.when(parent.isNotNull() & ~filled(parent), "parent_turn_id")
-        .when(parent == F.col("turn_id"), "own_parent")
-        .when(~valid_tokens(F.col("input_ids")), "input_ids")
-        .when(~valid_tokens(F.col("output_ids")), "output_ids")
-        .when(F.size("output_ids") == 0, "output_empty")
-        .when(F.col("contract").isNull(), "contract")
-        .when(F.col("metadata").isNull(), "metadata")
-        .when(F.col("termination").isNull(), "termination")
-    )
-    nested = F.coalesce(generation, boundary_error(F.col("boundaries")), contract_error(F.col("contract")))
-    return F.coalesce(common, F.when(kind == "capture_complete", footer).when(kind == "capture_gap", gap).otherwise(nested))
+    return first_broken(F.col, kind=F.col("record_type"), declared=has_parent_key)
 
 
 def transitions(records: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from turnledger.functions.arrays import joined
 from turnledger.functions.scalars import is_alias
-from turnledger.operators.contract import EVIDENCE, FOLLOWING, MODES, ORIGINS, POLICIES, PREVIOUS, PRIORITY, VERSION
+from turnledger.operators.contract import FOLLOWING, PREVIOUS, PRIORITY
+from turnledger.operators.rules import EVIDENCE, MODES, ORIGINS, POLICIES, VERSION
 from turnledger.operators.traces import KEY, record_error, trace_errors, trace_reports, verdicts
 from turnledger.session import table
 
