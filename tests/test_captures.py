@@ -156,10 +156,15 @@ def test_bundles(spark, tmp_path):
         verify_bundle(spark, str(tmp_path / "bundle"))
     import hashlib
 
-    manifest["files"]["report.json"] = {"bytes": len(lie.encode()), "sha256": hashlib.sha256(lie.encode()).hexdigest()}
+    own = next(f for f in manifest["files"] if f["name"] == "report.json")
+    own |= {"bytes": len(lie.encode()), "sha256": hashlib.sha256(lie.encode()).hexdigest()}
     (tmp_path / "bundle/manifest.json").write_text(json.dumps(manifest))
     with pytest.raises(CaptureError, match="saved report"):
         verify_bundle(spark, str(tmp_path / "bundle"))
+    for wrong in ({**manifest, "more": 1}, {**manifest, "format": "x"}, {**manifest, "files": manifest["files"][:2]}, {**manifest, "files": manifest["files"] + manifest["files"][:1]}):
+        (tmp_path / "bundle/manifest.json").write_text(json.dumps(wrong))
+        with pytest.raises(CaptureError, match="manifest"):
+            verify_bundle(spark, str(tmp_path / "bundle"))
     (tmp_path / "bundle/README.md").unlink()
     (tmp_path / "bundle/README.md").symlink_to(source)
     with pytest.raises(CaptureError):
@@ -170,7 +175,14 @@ def test_text_and_command_line(spark, tmp_path, capsys):
     source = str(trace(tmp_path / "t.jsonl", *DRIFT))
     assert main(["inspect-trace", source, "--format", "text", "--cases-dir", str(tmp_path / "cases")], spark) == 1
     text = capsys.readouterr().out
-    assert "Status: FAIL" in text and "expected 4, found 7" in text and (tmp_path / "cases/transition-000001.json").exists()
+    assert "Status: FAIL" in text and "expected 4, found 7" in text and 'session "s", branch "b", turn "t1", declared parent "t0"' in text
+    extracted = str(tmp_path / "cases/transition-000001.json")
+    assert main(["inspect", extracted], spark) == 1 and json.loads((tmp_path / "cases/trace.report.json").read_text())["capture_gaps"] == []
+    assert json.loads(open(extracted).read())["evidence"]["trace_sha256"] == json.loads((tmp_path / "cases/trace.report.json").read_text())["sha256"]
+    capsys.readouterr()
+    assert main(["inspect-trace", str(trace(tmp_path / "gaps.jsonl", *GOOD, gaps=["lost", "late"])), "--format", "text"], spark) == 3
+    text = capsys.readouterr().out
+    assert text.index('gap at record 2: "lost"') < text.index('gap at record 3: "late"')
     assert main(["inspect-trace", str(trace(tmp_path / "g.jsonl", *GOOD))], spark) == 0
     assert main(["inspect-trace", str(tmp_path / "none")], spark) == 2
     (tmp_path / "empty.jsonl").write_bytes(b"")
@@ -179,7 +191,10 @@ def test_text_and_command_line(spark, tmp_path, capsys):
     assert main(["export-evidence", str(tmp_path / "c.json"), str(tmp_path / "b")], spark) == 0 and main(["verify-evidence", str(tmp_path / "b")], spark) == 0
     handoff = {"turns": [{"turn_id": "a", "input_ids": [1], "output_ids": [2, 3]}], "samples": [{"tokens": [1, 2, 9], "response_length": 2, "loss_mask": [1, 0]}]}
     (tmp_path / "h.json").write_text(json.dumps(handoff))
-    assert main(["audit-samples", str(tmp_path / "h.json")], spark) == 0 and main(["audit-samples", str(tmp_path / "h.json"), "--require-all-generated"], spark) == 1
+    capsys.readouterr()
+    assert main(["audit-samples", str(tmp_path / "h.json")], spark) == 0
+    assert json.loads(capsys.readouterr().out)["samples"] == [{"sample_index": 0, "tokens": 3, "trainable_tokens": 1}]
+    assert main(["audit-samples", str(tmp_path / "h.json"), "--require-all-generated"], spark) == 1
     handoff["samples"][0]["loss_mask"] = [True, 0]
     (tmp_path / "h.json").write_text(json.dumps(handoff))
     assert main(["audit-samples", str(tmp_path / "h.json")], spark) == 2

@@ -5,76 +5,108 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 from pathlib import Path
+from typing import NamedTuple
+
+from pyspark.sql import SparkSession
 
 from turnledger import __version__
-from turnledger.operators.attribution import attribution_totals, retention
+from turnledger.operators.attribution import attribution_totals, retention, sample_counts
 from turnledger.operators.contract import EXIT_CODES
 from turnledger.report import render
-from turnledger.session import build_session
-from turnledger.sinks.evidence import export_bundle, report_of, verify_bundle, write_transitions
+from turnledger.session import build_session, discard
+from turnledger.sinks.evidence import export_bundle, report_of, verify_bundle, write_cases
 from turnledger.sources.captures import CaptureError, handoffs
 
+#: What an audit exits with (fixed values).
 AUDIT_CODES = {"MATCHED": 0, "UNMATCHED": 1, "AMBIGUOUS": 3, "NO_TRAINABLE_TOKENS": 3}
+COUNTS = ("generated", "trainable", "unmatched", "ambiguous", "duplicate", "unaccounted")
+
+
+class Command(NamedTuple):
+    run: Callable[[SparkSession, argparse.Namespace], dict]
+    arguments: dict[str, dict] = {"source": {}}
+    text: Callable[[dict], str] = render
+    code: Callable[[dict], int] = lambda report: EXIT_CODES[report["status"]]
+
+
+def _exported(report: dict, folder: str) -> dict:
+    return report | {"export": {"kind": "witness_only", "directory": folder}}
+
+
+def _trace(spark: SparkSession, args: argparse.Namespace) -> dict:
+    report = report_of(spark, args.source, "trace")
+    if args.cases_dir is None or report["status"] == "ERROR":
+        return report
+    write_cases(spark, args.source, report, args.cases_dir)
+    return _exported(report, args.cases_dir)
+
+
+def _audit(spark: SparkSession, args: argparse.Namespace) -> dict:
+    files, turns, samples = handoffs(spark, Path(args.source).resolve().as_uri())
+    (digest, error), = files.select("sha256", "error").collect() or [(None, "malformed:json")]
+    if error:
+        raise CaptureError(error)
+    plain = lambda df, order: [r.asDict() for r in df.drop("path").orderBy(order).collect()]
+    totals = plain(attribution_totals(turns, samples, scope=["path"]), "status") or [dict.fromkeys(COUNTS, 0) | {"status": "NO_TRAINABLE_TOKENS"}]
+    counts = sample_counts(samples, keys=["path", "sample_id"]).withColumnRenamed("sample_id", "sample_index")
+    return totals[0] | {"turns": plain(retention(turns, samples, scope=["path"]), "turn_id"), "samples": plain(counts, "sample_index"), "sha256": digest, "require_all_generated": args.require_all_generated}
+
+
+def _audit_text(report: dict) -> str:
+    if report["status"] == "ERROR":
+        return render(report)
+    parts = [f"{k}: {v}" for k, v in report.items() if not isinstance(v, list)]
+    return "\n".join([*parts, *(", ".join(f"{k} {v}" for k, v in r.items()) for part in ("turns", "samples") for r in report[part])])
+
+
+def _audit_code(report: dict) -> int:
+    if report["status"] == "ERROR":
+        return EXIT_CODES["ERROR"]
+    return 1 if report["require_all_generated"] and report["unaccounted"] else AUDIT_CODES[report["status"]]
 
 
-def audit(spark, path: str, require_all: bool) -> tuple[dict, int]:
-    files, turns, samples = handoffs(spark, Path(path).resolve().as_uri())
-    head = files.first()
-    if head["error"]:
-        raise CaptureError(head["error"])
-    rows = attribution_totals(turns, samples, scope=["path"]).drop("path").collect()
-    none = {k: 0 for k in ("generated", "trainable", "unmatched", "ambiguous", "duplicate", "unaccounted")} | {"status": "NO_TRAINABLE_TOKENS"}
-    report = rows[0].asDict() if rows else none
-    report["turns"] = [r.asDict() for r in retention(turns, samples, scope=["path"]).drop("path").orderBy("turn_id").collect()]
-    report |= {"sha256": head["sha256"], "require_all_generated": require_all}
-    return report, 1 if require_all and report["unaccounted"] else AUDIT_CODES[report["status"]]
+_BOTH = {"source": {}, "destination": {}}
+COMMANDS = {
+    "inspect": Command(lambda spark, args: report_of(spark, args.source, "case")),
+    "inspect-trace": Command(_trace, {"source": {}, "--cases-dir": {}}),
+    "export-evidence": Command(lambda spark, args: _exported(export_bundle(spark, args.source, args.destination, "case"), args.destination), _BOTH),
+    "export-trace-evidence": Command(lambda spark, args: _exported(export_bundle(spark, args.source, args.destination, "trace"), args.destination), _BOTH),
+    "verify-evidence": Command(lambda spark, args: verify_bundle(spark, args.source)),
+    "audit-samples": Command(_audit, {"source": {}, "--require-all-generated": {"action": "store_true"}}, _audit_text, _audit_code),
+}
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="turnledger", description="Checks of token-level rollout records")
     top.add_argument("--version", action="version", version=__version__)
+    top.add_argument("--scratch", help="a folder for intermediate tables that all executors share; needed off a local master")
     sub = top.add_subparsers(dest="command", required=True)
-    for name, arguments in {
-        "inspect": ("source",), "inspect-trace": ("source",), "export-evidence": ("source", "destination"), "export-trace-evidence": ("source", "destination"),
-        "verify-evidence": ("source",), "audit-samples": ("source",),
-    }.items():
-        command = sub.add_parser(name)
-        for a in arguments:
-            command.add_argument(a)
-        command.add_argument("--format", choices=("json", "text"), default="json")
-        if name == "inspect-trace":
-            command.add_argument("--cases-dir")
-        if name == "audit-samples":
-            command.add_argument("--require-all-generated", action="store_true")
+    for name, command in COMMANDS.items():
+        own = sub.add_parser(name)
+        for argument, how in {**command.arguments, "--format": {"choices": ("json", "text"), "default": "json"}}.items():
+            own.add_argument(argument, **how)
     return top
 
 
-def main(argv: list[str] | None = None, spark=None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = spark or build_session("turnledger", "local[*]", spark__sql__shuffle__partitions=8)
+    given = spark is not None
+    if not given:
+        spark = build_session("turnledger", "local[*]", spark__sql__shuffle__partitions=8, **({"spark__checkpoint__dir": args.scratch} if args.scratch else {}))
+    command = COMMANDS[args.command]
     try:
         if not Path(args.source).exists():
             raise CaptureError(f"no such file: {args.source}")
-        if args.command == "audit-samples":
-            report, code = audit(spark, args.source, args.require_all_generated)
-            lines = "\n".join(f"{k}: {v}" for k, v in report.items() if k != "turns")
-            print(json.dumps(report, indent=2) if args.format == "json" else lines)
-            return code
-        if args.command == "verify-evidence":
-            report = verify_bundle(spark, args.source)
-        elif args.command.startswith("export"):
-            kind = "trace" if "trace" in args.command else "case"
-            report = export_bundle(spark, args.source, args.destination, kind) | {"export": {"kind": "witness_only", "directory": args.destination}}
-        else:
-            report = report_of(spark, args.source, "trace" if args.command == "inspect-trace" else "case")
-            if getattr(args, "cases_dir", None) and report["status"] != "ERROR":
-                write_transitions(report, args.cases_dir)
-                report |= {"export": {"kind": "witness_only", "directory": args.cases_dir}}
+        report = command.run(spark, args)
     except (OSError, CaptureError, RecursionError) as error:
         report = {"status": "ERROR", "reason": str(error)}
-    print(render(report) if args.format == "text" else json.dumps(report, indent=2, ensure_ascii=False, default=str))
-    return EXIT_CODES[report["status"]]
+    finally:
+        if not given:
+            discard(spark)
+    print(command.text(report) if args.format == "text" else json.dumps(report, indent=2, ensure_ascii=False, default=str))
+    return command.code(report)
 
 
 if __name__ == "__main__":

@@ -133,3 +133,12 @@ def retention(turns: DataFrame, samples: DataFrame, *, scope: Sequence[str]) ->
     return turns.select(*scope, "turn_id", F.size("output_ids").alias("generated")).alias("a").join(represented.alias("b"), on, "left").select(
         *(F.col(f"a.{c}").alias(c) for c in scope), "a.turn_id", "a.generated", n.alias("represented"), (F.col("a.generated") - n).alias("unaccounted")
     )
+
+
+def sample_counts(samples: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """Per sample its tokens and its trainable tokens (response tokens whose mask is 1, all of them without a mask; 0 is a
+    count). Impossible lengths have none."""
+    n = F.col("response_length")
+    trained = F.when(F.col("loss_mask").isNull(), n).otherwise(F.size(F.filter(F.slice("loss_mask", 1, n), lambda b: b == 1)))
+    fits = F.coalesce((n >= 0) & (n <= F.size("tokens")), F.lit(False))
+    return samples.select(*keys, F.size("tokens").alias("tokens"), F.when(fits, trained).otherwise(0).cast("bigint").alias("trainable_tokens"))

@@ -47,9 +47,12 @@ def transitions(records: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(records: DataFrame) -> DataFrame:
-    """The verdict of every transition, each once: deliveries are told apart only after the token arrays are gone."""
+def verdicts(records: DataFrame, *, identities: bool = False) -> DataFrame:
+    """The verdict of every transition, each once: deliveries are told apart only after the token arrays are gone. With
+    identities also session_id, branch_id and previous_turn_id, the parent that the turn declares."""
     df = check_transitions(transitions(records))
+    if identities:
+        df = df.withColumns({c: F.col(f"following.{c}") for c in ("session_id", "branch_id", "previous_turn_id")})
     return df.drop("contract", "boundaries", "previous", "following").dropDuplicates(list(KEY))
 
 

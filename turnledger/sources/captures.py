@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.operators.contract import BOUNDARY, FOLLOWING, PREVIOUS, check_transitions
-from turnledger.operators.traces import trace_reports, verdicts
+from turnledger.operators.traces import trace_reports, transitions, verdicts
 from turnledger.session import written
 
 # Fixed limits of the formats, in bytes.
@@ -59,11 +59,15 @@ def strict_object(raw: bytes) -> dict:
 
 
 def read_regular(path: str, limit: int) -> bytes:
-    """The bytes of a regular file that is no link, up to a limit."""
-    found = os.lstat(path)
-    if not stat.S_ISREG(found.st_mode):
-        raise CaptureError(f"no regular file: {os.path.basename(path)}")
-    with open(path, "rb") as stream:
+    """The bytes of a regular file that is no link, up to a limit. What is asked and what is read is the open file, which a
+    change of the directory no longer touches; opening never waits for a pipe."""
+    try:
+        handle = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
+    except OSError as error:
+        raise CaptureError(f"cannot be opened as a file: {os.path.basename(path)}") from error
+    with os.fdopen(handle, "rb") as stream:
+        if not stat.S_ISREG(os.fstat(handle).st_mode):
+            raise CaptureError(f"no regular file: {os.path.basename(path)}")
         raw = stream.read(limit + 1)
     if len(raw) > limit:
         raise CaptureError(f"larger than {limit} bytes: {os.path.basename(path)}")
@@ -85,13 +89,13 @@ def _holds(lines: pd.Series) -> pd.Series:
 
 
 def raw_files(spark: SparkSession, path: str, limit: int = MAX_TRACE) -> DataFrame:
-    """path, bytes, sha256, content and error of each file; content is null beyond the limit. Spark's file
-    source passes over empty files, which hold no records."""
+    """path, bytes, sha256, content and error of each file; content is null beyond the limit. Files beyond the limit are
+    listed without being opened (the source cannot read those above 2 GB), so they are rows like all others. Spark's
+    file source passes over empty files, which hold no records."""
     df = spark.read.format("binaryFile").load(path)
-    return df.select(
-        "path", F.col("length").alias("bytes"), F.when(F.col("length") <= limit, F.col("content")).alias("content"), F.when(F.col("length") <= limit, F.sha2("content", 256)).alias("sha256"),
-        F.when(F.col("length") > limit, "too_large").alias("error"),
-    )
+    small = df.where(F.col("length") <= limit).select("path", F.col("length").alias("bytes"), "content", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("error"))
+    large = df.where(F.col("length") > limit).select("path", F.col("length").alias("bytes"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("sha256"), F.lit("too_large").alias("error"))
+    return small.unionByName(large)
 
 
 def parsed(text: Column, name: str = "v") -> tuple[Column, Column]:
@@ -236,9 +240,25 @@ def trace_file_reports(spark: SparkSession, path: str, records: DataFrame | None
 
 
 def trace_file_verdicts(spark: SparkSession, path: str, records: DataFrame | None = None) -> DataFrame:
-    """The transitions of JSONL traces with their verdicts (trace_id is the path). Those of files that are an ERROR mean
-    nothing; join with trace_file_reports to leave them out."""
-    return verdicts(_as_table(trace_records(spark, path) if records is None else records).drop("error"))
+    """The transitions of JSONL traces with their verdicts and identities (trace_id is the path). Those of files that are an
+    ERROR mean nothing; join with trace_file_reports to leave them out."""
+    return verdicts(_as_table(trace_records(spark, path) if records is None else records).drop("error"), identities=True)
+
+
+def trace_gaps(records: DataFrame) -> DataFrame:
+    """sequence and reason of the gaps of one trace (with several, trace_id too would be needed to tell them apart)."""
+    return records.where(F.col("record_type") == "capture_gap").select("sequence", "reason")
+
+
+def case_texts(records: DataFrame, digest: str | None = None) -> DataFrame:
+    """case_id and case of every transition: a JSON case that ``cases`` can check, with the digest of the trace it is from.
+    What a trace lacks is absent there."""
+    rows = transitions(_as_table(records))
+    label = lambda side, name: F.col(side).alias(name)
+    case = F.struct(
+        F.lit(1).alias("schema_version"), "case_id", F.struct(F.col("evidence_kind").alias("kind"), F.lit(digest).alias("trace_sha256")).alias("evidence"), "contract", label("previous", "previous"), label("following", "next"), "boundaries",
+    )
+    return rows.select("case_id", F.to_json(case, {"pretty": "true"}).alias("case"))
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
