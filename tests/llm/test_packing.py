@@ -101,3 +101,23 @@ def test_buckets_against_brute_force():
 def test_a_hot_length_costs_no_more_than_a_rare_one():
     rows, n = P.plan({300: 10**9, 200: 10**9, 12: 5}, 512, None)
     assert n == 10**9 + (0 if any(r[0] == 12 and r[4] < 10**9 for r in rows) else 1) and len(rows) < 10
+
+
+def test_dynamic_program_decides_the_batches(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("g", i, rng.choice([rng.randrange(300, 420), rng.randrange(1, 80), 512]), 1024, "", "") for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = lambda: sorted(map(tuple, P.pack(df).collect()))
+    own = placed()
+    monkeypatch.setattr(P, "length_buckets", lambda lengths, counts, k: ([lengths[-1]], 0))
+    assert placed() != own
+
+
+@pytest.mark.parametrize("capacity", [5000, 40_000])
+def test_wide_containers_are_filled_exactly(capacity):
+    rng = random.Random(capacity)
+    lengths = sorted(min(capacity, int(rng.lognormvariate(6, 1)) + 1) for _ in range(3000))
+    histogram = {x: lengths.count(x) for x in set(lengths)}
+    counts = [histogram[x] for x in sorted(histogram)]
+    found = min(P.plan(histogram, capacity, sorted({*P.length_buckets(sorted(histogram), counts, k)[0], capacity}))[1] for k in P.BUCKETS[:2])
+    assert found <= P.least_containers(histogram, capacity) + 1

@@ -4,22 +4,23 @@ One histogram of item lengths over all groups gives, by dynamic programming, the
 least. Inside each bucket, longest first, batches form up to the container's token budget, and what a batch leaves
 free is filled from the shorter lengths by an exact subset sum. Planning works on the histogram of a group (lengths
 and counts), never on its items, so it takes as long for a group of a third of all rows as for a small one; one plan
-row places a whole range of equal items. Plans with several numbers of buckets are made and the one with the fewest
-containers is kept; with as many buckets as lengths the batches are those of first fit decreasing.
+row places a whole range of equal items. Plans with more and more buckets are made until one needs no more containers
+than any packing must, and the best is kept.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.session import written
 
-#: Numbers of buckets that are tried; 0 stands for a bucket per length.
-BUCKETS = (0, 12, 48)
-#: Bits that one subset sum may touch (capacity times lengths); beyond, the free space is filled greedily.
-EFFORT = 4_000_000
+#: Numbers of buckets that are tried, in this order.
+BUCKETS = (12, 24, 48, 96, 192, 384)
+#: Ranks of equal items whose plan rows are looked up together.
+BLOCK = 4096
 #: Equal items of one group that are numbered in one task.
 RANKED = 500_000
 
@@ -78,14 +79,6 @@ def _fill(free: int, left: dict[int, int], order: list[int]) -> list[tuple[int,
     usable = [x for x in order if x <= free and left[x]]
     if not usable:
         return []
-    if free * len(usable) > EFFORT:
-        out = []
-        for x in usable:
-            n = min(free // x, left[x])
-            if n:
-                out.append((x, n))
-                free -= n * x
-        return out
     limit = (1 << (free + 1)) - 1
     reach, steps = 1, []
     for x in usable:
@@ -153,27 +146,28 @@ def plan(histogram: dict[int, int], capacity: int, bounds: list[int] | None) ->
 
 def least_containers(histogram: dict[int, int], capacity: int) -> int:
     """A bound no packing can beat: by tokens, and by items of which no two (or no two of a longer and a shorter kind) fit
-    together."""
-    total = -(-sum(x * n for x, n in histogram.items()) // capacity)
-    best = total
-    for k in {x for x in histogram if 2 * x <= capacity} | {0}:
-        large = sum(n for x, n in histogram.items() if x > capacity - k)
-        half = [(x, n) for x, n in histogram.items() if capacity - k >= x and 2 * x > capacity]
-        small = sum(x * n for x, n in histogram.items() if k <= x and 2 * x <= capacity and x)
-        room = sum((capacity - x) * n for x, n in half)
-        best = max(best, large + sum(n for _, n in half) + max(0, -(-(small - room) // capacity)))
-    return best
+    together. For each k: items over capacity - k stand alone, those from there down to over half too (but may take
+    smaller ones in), and the rest from k up needs what room these leave, or more."""
+    x = np.array(sorted(histogram), dtype=np.int64)
+    n = np.array([histogram[v] for v in x.tolist()], dtype=np.int64)
+    items, tokens = (np.concatenate([[0], np.cumsum(v)]) for v in (n, n * x))
+    best = -(-int(tokens[-1]) // capacity)
+    half = int(np.searchsorted(x, capacity // 2, "right"))  # from here on over half
+    k = np.append(x[:half], 0)
+    top = np.maximum(half, np.searchsorted(x, capacity - k, "right"))  # from here on over capacity - k
+    room = capacity * (items[top] - items[half]) - (tokens[top] - tokens[half])
+    small = tokens[half] - tokens[np.searchsorted(x[:half], k, "left")]
+    bounds = items[-1] - items[half] + np.maximum(0, -((room - small) // capacity))
+    return max(best, int(bounds.max()))
 
 
 def _planner(boundaries: dict[int, list[int]]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         capacity = int(rows["capacity"].iloc[0])
         histogram = dict(zip(rows["length"].tolist(), rows["n"].tolist(), strict=True))
-        least = least_containers(histogram, capacity) if len(histogram) <= 4096 else 0
-        best = None
+        least, best = least_containers(histogram, capacity), None
         for k in BUCKETS:
-            bounds = None if not k else sorted({min(b, capacity) for b in boundaries[k]} | {capacity})
-            made = plan(histogram, capacity, bounds)
+            made = plan(histogram, capacity, sorted({min(b, capacity) for b in boundaries[k]} | {capacity}))
             if best is None or made[1] < best[1]:
                 best = made
             if best[1] <= least:
@@ -217,25 +211,30 @@ def pack(items: DataFrame) -> DataFrame:
     histogram = written(pieces.groupBy("group", "length").agg(F.max("capacity").alias("capacity"), F.count("*").alias("n")), "lengths")
     # one row per length over all groups: at most as many as the largest capacity
     total = sorted((r["length"], r["n"]) for r in histogram.groupBy("length").agg(F.sum("n").alias("n")).collect())
-    boundaries = {k: length_buckets([x for x, _ in total], [n for _, n in total], k)[0] for k in BUCKETS if k}
+    boundaries = {k: length_buckets([x for x, _ in total], [n for _, n in total], k)[0] for k in BUCKETS}
     kind = histogram.schema["group"].dataType.simpleString()
     # planning is work for the processor, not for the size of its input: as many tasks as a shuffle has partitions
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plans = histogram.repartition(tasks, "group").groupBy("group").applyInPandas(
         _planner(boundaries), f"group {kind}, length bigint, rank bigint, items bigint, per bigint, container bigint, offset bigint"
     )
-    by_length = plans.groupBy("group", "length").agg(F.sum("items").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "items", "per", "container", "offset"))).alias("plan"))
-    by_length = written(by_length.withColumn("salts", F.ceil(F.col("n") / RANKED)), "plans")
-    salted = _joined(pieces, by_length, ["group", "length"], "inner").withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.col("salts")))
+    # items are ranked first; only then do they meet their plan rows, a block of ranks at a time, so that neither a
+    # frequent length nor its many plan rows come together in one place
+    salts = histogram.select("group", "length", F.ceil(F.col("n") / RANKED).alias("salts"))
+    salted = _joined(pieces, salts, ["group", "length"], "inner").withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.col("salts")))
     rank = F.row_number().over(Window.partitionBy("group", "length", "salt").orderBy("item", "piece")) - 1
     ranked = salted.withColumn("r", rank.cast("bigint"))
-    if by_length.where(F.col("salts") > 1).limit(1).count():
+    if salts.where(F.col("salts") > 1).limit(1).count():
         # where a salt's ranks begin; only lengths with more than RANKED items have several salts
         counts = salted.where(F.col("salts") > 1).groupBy("group", "length", "salt").agg(F.count("*").alias("c"))
         begin = counts.withColumn("begin", F.sum("c").over(Window.partitionBy("group", "length").orderBy("salt")) - F.col("c")).drop("c")
         ranked = _joined(ranked, begin, ["group", "length", "salt"], "left").withColumn("r", F.col("r") + F.coalesce("begin", F.lit(0)))
+    block = lambda c: F.expr(f"({c}) div {BLOCK}")
+    rows = plans.withColumn("block", F.explode(F.sequence(block("rank"), block("rank + items - 1"))))
+    rows = rows.groupBy("group", "length", "block").agg(F.collect_list(F.struct("rank", "items", "per", "container", "offset")).alias("plan"))
+    met = _joined(ranked.withColumn("block", block("r")), rows, ["group", "length", "block"], "inner")
     own = F.element_at(F.filter("plan", lambda p: (p["rank"] <= F.col("r")) & (F.col("r") < p["rank"] + p["items"])), 1)
-    placed = ranked.select("group", "item", "piece", "start", "length", "r", own.alias("p"))
+    placed = met.select("group", "item", "piece", "start", "length", "r", own.alias("p"))
     at = F.col("r") - F.col("p.rank")
     return placed.select(
         "group", (F.col("p.container") + F.floor(at / F.col("p.per"))).cast("bigint").alias("container"),
