@@ -1,32 +1,35 @@
 """Same or nearly the same prompts across splits.
 
-The suffixes of all distinct prompts are sorted over range partitions: a partitioned suffix array. Neighbours that are
-equal for a run of tokens and stand on both sides are the spans the splits share; merged per prompt they give its
-coverage (to ``DEPTH`` tokens and over partition borders, in ``coverage``). A prompt too few of whose runs are shared
-cannot reach the similarity and is left out. The rest meet through their rarest shared runs only (as many as it takes
-not to miss a pair), never as all pairs of a frequent run, and each meeting is checked exactly.
+The suffixes of all distinct prompts are sorted over range partitions: a partitioned suffix array. A suffix is compared by
+its first RUN tokens and then by names of its prefixes of twice as many tokens again and again (prefix doubling, with
+hashes for names, so that no round needs the ranks of the one before and one sort is enough, whatever the length).
+Neighbours of both sides show, for every suffix, how far it is shared; these spans merged give a prompt's coverage.
+
+For pairs, a prompt too few of whose distinct runs are covered cannot reach the similarity and is left out. The rest
+meet inside stretches of the array, that is among suffixes with a common prefix of RUN tokens: in the rarest stretches of
+each prompt only (as many as it takes not to miss a pair), among prompts of similar size only, and never in all pairs of
+a frequent stretch. What is left is compared by all its runs, and then token by token.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnledger.llm.tokens import CHUNK, chunks, flat, run_hashes, whole_runs
 from turnledger.session import written
 
-#: Tokens to which the suffixes are sorted; longer common prefixes show at the following suffixes.
-DEPTH = 8
+#: Tokens of a run; the least span that is looked at.
 RUN = 4
 SIMILARITY = 0.6
-#: Shared runs (16 bytes each) up to which every task gets them all; beyond, they are joined.
-SENT = 2_000_000
+#: Suffixes of one partition of the array, about 100 bytes each in a task.
+PART = 500_000
 
 
 def prompts_of(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, held_out: tuple[str, ...], train: str) -> DataFrame:
@@ -43,351 +46,243 @@ def prompts_of(samples: DataFrame, *, index: str, split: str, tokens: str, respo
     )
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, train, held, prompt) to one row per suffix of at least RUN tokens."""
-    for batch in batches:
-        x, offsets, nulls = flat(batch.column(3))
-        for low, high in chunks(offsets, CHUNK // DEPTH):
-            a, b = offsets[low], offsets[high]
-            own = offsets[low : high + 1] - a
-            at, row = whole_runs(own, RUN, None if nulls is None else nulls[a:b])
-            if not len(at):
-                continue
-            part = x[a:b]
-            run = run_hashes(part, RUN)[at]
-            # distinct runs of each prompt
-            order = np.lexsort((run, row))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (run[order][1:] != run[order][:-1]) | (row[order][1:] != row[order][:-1])
-            count = np.bincount(row[order][new], minlength=high - low).astype(np.int32)
-            padded = np.concatenate([part + np.uint64(1 << 63) + np.uint64(1), np.zeros(DEPTH, np.uint64)])
-            end = own[1:][row]
-            key = np.stack([np.where(at + k < end, padded[at + k], np.uint64(0)) for k in range(DEPTH)], axis=1)
-            raw = key.astype(">u8").tobytes()
-            heads = pa.Array.from_buffers(pa.binary(8 * DEPTH), len(at), [None, pa.py_buffer(raw)]).cast(pa.binary())
-            rows = pa.array(row.astype(np.int64) + low)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array((at - own[row]).astype(np.int32)),
-                 pa.array(count[row]), pa.array(run.view(np.int64)), heads],
-                ["key", "train", "held", "at", "n_runs", "run", "head"],
-            )
-
-
-_SUFFIX = "key binary, train boolean, held boolean, at int, n_runs int, run bigint, head binary"
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Tokens that rows of two (n, DEPTH) arrays have in common at their start (ends of prompts count for none)."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), DEPTH, np.argmin(same, axis=1))
-
-
-def _neighbours(edges):
-    """Sorted (part, head, train, held) to heads with the length of the longest common prefix with the other side."""
-
-    def view(column: pa.Array) -> np.ndarray:
-        raw = b"".join(column.to_pylist())
-        return np.frombuffer(raw, dtype=">u8").reshape(-1, DEPTH).astype(np.uint64)
-
-    def nearest(keys: np.ndarray, marks: np.ndarray, outside: np.ndarray | None, backward: bool) -> np.ndarray:
-        n = len(keys)
-        step = np.arange(n)
-        if backward:
-            at = np.minimum.accumulate(np.where(marks, step, n)[::-1])[::-1]
-            none = at == n
-        else:
-            at = np.maximum.accumulate(np.where(marks, step, -1))
-            none = at < 0
-        other = keys[np.where(none, 0, at)]
-        if outside is not None:
-            other[none] = outside
-            none = np.zeros(n, dtype=bool)
-        return np.where(none, 0, _common(keys, other))
+def _ends(own: np.ndarray, row: np.ndarray, nulls: np.ndarray | None, size: int) -> np.ndarray:
+    """Where the tokens that follow each place end: at the prompt's end or the next null."""
+    end = own[1:][row]
+    if nulls is None:
+        return end
+    at = np.flatnonzero(nulls)
+    following = np.append(at, size)[np.searchsorted(at, np.arange(size), "left")]
+    return np.minimum(end, following)
+
+
+def _suffixes(width: int):
+    """(id, side, prompt) to a row per suffix of at least RUN tokens: id, side, at, n_runs (distinct runs of its prompt), run
+    (hash of its first RUN tokens) and key: these tokens in width bytes each, then the names of longer prefixes."""
+    exact = RUN * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = None
-        before: dict[str, np.ndarray | None] = {}
-
-        def finish(batch: pa.RecordBatch, follow: dict[str, np.ndarray | None]) -> pa.RecordBatch:
-            keys, train, held = view(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-            longest = np.zeros(len(keys), dtype=np.int64)
-            for own, other, name in ((train, held, "held"), (held, train, "train")):
-                best = np.maximum(nearest(keys, other, before.get(name), False), nearest(keys, other, follow.get(name), True))
-                longest = np.maximum(longest, np.where(own, best, 0))
-            for marks, name in ((train, "train"), (held, "held")):
-                if marks.any():
-                    before[name] = keys[np.flatnonzero(marks)[-1]]
-            return pa.RecordBatch.from_arrays([batch.column(1), pa.array(longest.astype(np.int32))], ["head", "common"])
-
-        part = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if ahead is not None:
-                keys = view(batch.column(1))
-                follow = {}
-                for name, k in (("train", 2), ("held", 3)):
-                    marks = batch.column(k).to_numpy(zero_copy_only=False)
-                    follow[name] = keys[np.flatnonzero(marks)[0]] if marks.any() else edges.value[part]["after"].get(name)
-                yield finish(ahead, follow)
-            else:
-                part = batch.column(0)[0].as_py()
-                before.update(edges.value[part]["before"])
-            ahead = batch
-        if ahead is not None:
-            yield finish(ahead, edges.value[part]["after"])
+            x, offsets, nulls = flat(batch.column(2))
+            for low, high in chunks(offsets, CHUNK // 8):
+                a, b = offsets[low], offsets[high]
+                own, part, gone = offsets[low : high + 1] - a, x[a:b], None if nulls is None else nulls[a:b]
+                at, row = whole_runs(own, RUN, gone)
+                if not len(at):
+                    continue
+                mark = run_hashes(part, RUN)[at]
+                order = np.lexsort((mark, row))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (mark[order][1:] != mark[order][:-1]) | (row[order][1:] != row[order][:-1])
+                count = np.bincount(row[order][new], minlength=high - low).astype(np.int32)
+                whole = np.repeat(np.arange(high - low), np.diff(own))
+                names = np.log2((_ends(own, whole, gone, len(part))[at] - at) // RUN).astype(np.int64)
+                keys = np.zeros((len(at), exact + 8 * names.max()), dtype=np.uint8)
+                tokens = np.stack([part[at + k] for k in range(RUN)], axis=1)
+                keys[:, :exact] = (tokens if width == 4 else tokens + np.uint64(1 << 63)).astype(f">u{width}").view(np.uint8).reshape(len(at), exact)
+                for k in range(names.max()):
+                    long = np.flatnonzero(names > k)
+                    named = run_hashes(part, RUN << (k + 1), k + 1)[at[long]]
+                    keys[long, exact + 8 * k : exact + 8 * k + 8] = named.astype(">u8").view(np.uint8).reshape(len(long), 8)
+                size = exact + 8 * names
+                raw = keys[np.arange(keys.shape[1]) < size[:, None]]
+                cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                rows = pa.array(row.astype(np.int64) + low)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - own[row]).astype(np.int32)), pa.array(count[row]), pa.array(mark.view(np.int64)),
+                     pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])],
+                    ["id", "side", "at", "n_runs", "run", "key"],
+                )
 
     return run
 
 
-def shared_heads(suffixes: DataFrame) -> DataFrame:
-    """head and common: for every distinct suffix start, how many tokens it has in common with the nearest suffix of the
-    other side. The partitions' first and last suffix of each side (four keys a partition) pass through the driver."""
-    spark = suffixes.sparkSession
-    keys = suffixes.groupBy("head").agg(F.max("train").alias("train"), F.max("held").alias("held"))
-    array = written(
-        keys.repartitionByRange("head").sortWithinPartitions("head").select(F.spark_partition_id().alias("part"), "head", "train", "held"), "suffix-array"
-    )
-    ends = {
-        r["part"]: r
-        for r in array.groupBy("part")
-        .agg(*(f(F.when(F.col(s), F.col("head"))).alias(f"{n}_{s}") for s in ("train", "held") for n, f in (("first", F.min), ("last", F.max))))
-        .collect()
-    }
-    token = lambda raw: None if raw is None else np.frombuffer(bytes(raw), dtype=">u8").astype(np.uint64)
-    edges: dict[int, dict] = {p: {"before": {}, "after": {}} for p in ends}
-    for s in ("train", "held"):
-        for name, at, order in (("before", "last", sorted(ends)), ("after", "first", sorted(ends, reverse=True))):
-            seen = None
-            for p in order:
-                edges[p][name][s] = token(seen)
-                seen = ends[p][f"{at}_{s}"] if ends[p][f"{at}_{s}"] is not None else seen
-    shared = spark.sparkContext.broadcast(edges)
-    # one task per sorted partition: the table is read back by partition and sorted again within it
-    placed = array.repartition(F.col("part")).sortWithinPartitions("part", "head")
-    return placed.mapInArrow(_by_part(_neighbours(shared)), "head binary, common int")
-
-
-def _by_part(run):
-    """Feeds runs of rows of one partition of the array to run."""
+class _Keys:
+    """Keys of suffixes as a matrix: the exact tokens, then the names, and how many columns each row has."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pieces():
-            for batch in batches:
-                if batch.num_rows:
-                    part = batch.column(0).to_numpy()
-                    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        yield int(part[a]), batch.slice(a, b - a)
+    def __init__(self, column: pa.Array, width: int):
+        self.exact = RUN * width // 8
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        values = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(">u8").astype(np.uint64)
+        self.size = np.diff(offsets) // 8
+        self.columns = np.arange(self.size.max())
+        self.values = np.zeros((len(column), len(self.columns)), dtype=np.uint64)
+        self.values[self.columns < self.size[:, None]] = values
 
-        import itertools
+    def shared(self, rows: np.ndarray, other: _Keys, others: np.ndarray) -> np.ndarray:
+        """Tokens that rows and others have in common at their start, as far as the names tell: 0 or RUN, 2 RUN, 4 RUN, ..."""
+        n = min(len(self.columns), len(other.columns))
+        same = self.values[rows, :n] == other.values[others, :n]
+        same &= self.columns[:n] < np.minimum(self.size[rows], other.size[others])[:, None]
+        equal = np.where(same.all(axis=1), n, np.argmin(same, axis=1))
+        return np.where(equal >= self.exact, RUN << np.maximum(equal - self.exact, 0), 0)
 
-        for _, group in itertools.groupby(pieces(), key=lambda x: x[0]):
-            yield from run(b for _, b in group)
 
-    return split
-
-
-def _sides(prompts: DataFrame) -> DataFrame:
-    """The distinct prompts, numbered, with the sides they stand on and their largest token."""
-    sides = prompts.groupBy("key").agg(F.max("side").alias("train"), F.max(~F.col("side")).alias("held"), F.first("prompt").alias("prompt"))
-    return written(sides.withColumn("id", F.monotonically_increasing_id()), "prompts")
+def _neighbours(width: int):
+    """One sorted partition of the array to the suffixes that are shared with the other side, and how far. Only those in the
+    first and the last stretch can have nearer neighbours in other partitions: they keep their keys. Rows without an id
+    are the partition's first and last suffix of each side."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        column = {c: whole.column(c).combine_chunks() for c in whole.column_names}
+        column = {c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in column.items()}
+        keys, side = _Keys(column["key"], width), column["side"].to_numpy()
+        n, step = len(side), np.arange(len(side))
+        far = np.zeros(n, dtype=np.int64)
+        edges = []
+        for own, other in ((1, 2), (2, 1)):
+            marks = np.flatnonzero(side & other)
+            edges += [(other, end, int(at)) for end, at in zip((0, 1), marks[[0, -1]])] if len(marks) else []
+            mine = np.flatnonzero(side & own)
+            if not len(marks) or not len(mine):
+                continue
+            place = np.searchsorted(marks, mine, "right")
+            for near, there in ((marks[np.maximum(place - 1, 0)], place > 0), (marks[np.minimum(np.searchsorted(marks, mine), len(marks) - 1)], np.searchsorted(marks, mine) < len(marks))):
+                far[mine] = np.maximum(far[mine], np.where(there, keys.shared(mine, keys, near), 0))
+        exact = keys.values[:, : keys.exact]
+        open_ = (exact == exact[0]).all(axis=1) | (exact == exact[-1]).all(axis=1)
+        keep = np.flatnonzero(open_ | (far > 0))
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keep), part, dtype=np.int32)), *(column[c].take(pa.array(keep)) for c in ("id", "side", "at", "n_runs", "run")), pa.array(far[keep].astype(np.int32)),
+             column["key"].take(pa.array(np.where(open_[keep], keep, -1), mask=~open_[keep]))],
+            ["part", "id", "side", "at", "n_runs", "run", "tokens", "key"],
+        )
+        none = lambda t: pa.nulls(len(edges), t)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(edges), pa.int32()), none(pa.int64()), pa.array([e[0] for e in edges], pa.int8()), pa.array([e[1] for e in edges], pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int32()),
+             column["key"].take(pa.array([e[2] for e in edges], pa.int64()))],
+            ["part", "id", "side", "at", "n_runs", "run", "tokens", "key"],
+        )
 
-def coverage(prompts: DataFrame, *, least: int = DEPTH) -> DataFrame:
-    """Per distinct prompt: key, train, held, n_tokens and covered, the tokens in spans of at least ``least`` (RUN to
-    DEPTH) tokens that also stand in a prompt of the other side."""
-    sides = _sides(prompts)
-    suffixes = written(sides.select("key", "train", "held", "prompt").mapInArrow(_suffixes, _SUFFIX), "suffixes")
-    spans = suffixes.join(shared_heads(suffixes).where(F.col("common") >= least), "head")
-    covered = spans.groupBy("key").agg(F.collect_set(F.struct("at", "common")).alias("spans"))
-    # every position of every span once
-    places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["common"] - 1))))
-    return sides.join(covered, "key", "left").select("key", "train", "held", F.size("prompt").alias("n_tokens"), F.coalesce(F.size(places), F.lit(0)).alias("covered"))
+    return run
 
 
-def _starts(width: int):
-    """(train, held, prompt) to the distinct suffix starts of RUN tokens of each chunk, with how many of its prompts have
-    them: head, run, train, held, n."""
+def _across(width: int, outside):
+    """Rows of _neighbours with the neighbours of other partitions taken in."""
+    names = ["id", "side", "at", "n_runs", "run", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train, held = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            x, offsets, nulls = flat(batch.column(2))
-            for low, high in chunks(offsets):
-                a, b = offsets[low], offsets[high]
-                at, row = whole_runs(offsets[low : high + 1] - a, RUN, None if nulls is None else nulls[a:b])
-                if not len(at):
-                    continue
-                part = x[a:b]
-                mark = run_hashes(part, RUN)[at]
-                order = np.lexsort((row, mark))
-                at, row, mark = at[order], row[order], mark[order]
-                new = np.ones(len(mark), dtype=bool)
-                new[1:] = mark[1:] != mark[:-1]
-                once = new.copy()
-                once[1:] |= row[1:] != row[:-1]
-                first = np.flatnonzero(new)
-                own = row + low
-                tokens = np.stack([part[at[first] + k] for k in range(RUN)], axis=1)
-                raw = (tokens if width == 4 else tokens + np.uint64(1 << 63)).astype(f">u{width}").tobytes()
-                heads = pa.Array.from_buffers(pa.binary(width * RUN), len(first), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [heads, pa.array(mark[first].view(np.int64)), pa.array(np.logical_or.reduceat(train[own], first)), pa.array(np.logical_or.reduceat(held[own], first)), pa.array(np.add.reduceat(once.astype(np.int64), first))],
-                    ["head", "run", "train", "held", "n"],
-                )
+            far, part, side = (batch.column(k).to_numpy().copy() for k in (6, 0, 2))
+            at = np.flatnonzero(batch.column(7).is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                keys = _Keys(batch.column(7).take(pa.array(at)), width)
+                for p in np.unique(part[at]):
+                    for own, other in ((1, 2), (2, 1)):
+                        mine = np.flatnonzero((part[at] == p) & (side[at] & own > 0))
+                        for key in outside.value.get((int(p), other), ()) if len(mine) else ():
+                            edge = _Keys(pa.array([key], pa.binary()), width)
+                            far[at[mine]] = np.maximum(far[at[mine]], keys.shared(mine, edge, np.zeros(len(mine), np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, 6)), pa.array(far.astype(np.int32))], names).filter(pa.array(far > 0))
 
     return run
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted starts of one partition to the stretches of equal neighbours that stand on both sides. The first and the
-    last stretch may go on in another partition and come out in any case."""
-    held_back: list | None = None
-    first = True
-
-    def row(x: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x[1:], (pa.int64(), pa.bool_(), pa.bool_(), pa.int64()), strict=True)], ["run", "train", "held", "n"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        heads = batch.column(0)
-        same = pc.equal(heads.slice(1), heads.slice(0, len(heads) - 1)).to_numpy(zero_copy_only=False)
-        start = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        run, train, held, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))
-        run, train, held, n = run[start], np.logical_or.reduceat(train, start), np.logical_or.reduceat(held, start), np.add.reduceat(n, start)
-        if held_back is not None and held_back[0] == heads[0].as_py():
-            train[0] |= held_back[2]
-            held[0] |= held_back[3]
-            n[0] += held_back[4]
-        elif held_back is not None:
-            if first or (held_back[2] and held_back[3]):
-                yield row(held_back)
-            first = False
-        last = len(start) - 1
-        keep = train & held
-        keep[0] |= first
-        keep[last] = False
-        first = first and last == 0
-        held_back = [heads[len(heads) - 1].as_py(), int(run[last]), bool(train[last]), bool(held[last]), int(n[last])]
-        at = np.flatnonzero(keep)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(run[at]), pa.array(train[at]), pa.array(held[at]), pa.array(n[at])], ["run", "train", "held", "n"])
-    if held_back is not None:
-        yield row(held_back)
-
-
-def shared_runs(sides: DataFrame) -> DataFrame:
-    """run and often (prompts that have it) of the token runs that stand on both sides: the suffixes of all prompts,
-    sorted to RUN tokens over range partitions, and of neighbours that are equal that far those with both sides."""
-    most = sides.agg(F.max(F.array_max("prompt")).alias("hi"), F.min(F.array_min("prompt")).alias("lo")).first()
-    width = 4 if most["hi"] is None or (most["hi"] < 1 << 32 and most["lo"] >= 0) else 8
-    starts = sides.select("train", "held", "prompt").mapInArrow(_starts(width), "head binary, run bigint, train boolean, held boolean, n bigint")
-    array = starts.repartitionByRange("head").sortWithinPartitions("head")
-    stretches = array.mapInArrow(_scan, "run bigint, train boolean, held boolean, n bigint")
-    whole = stretches.groupBy("run").agg(F.max("train").alias("train"), F.max("held").alias("held"), F.sum("n").alias("often"))
-    return written(whole.where(F.col("train") & F.col("held")).select("run", "often"), "shared-runs")
-
-
-def _own_runs(x: np.ndarray, offsets: np.ndarray, nulls: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of the distinct runs of each list, by row."""
-    at, row = whole_runs(offsets, RUN, nulls)
-    if not len(at):
-        return row, np.zeros(0, np.uint64)
-    mark = run_hashes(x, RUN)[at]
-    order = np.lexsort((mark, row))
-    row, mark = row[order], mark[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
-    return row[new], mark[new]
-
-
-def _reach(similarity: float, shared):
-    """(id, train, held, prompt) to the prompts with enough shared runs: id, train, held, n_runs, runs, probes."""
+def suffix_spans(sides: DataFrame) -> DataFrame:
+    """id, side, at, n_runs, run and tokens: the suffixes of distinct prompts (what _sides gave) that the other side shares,
+    each with the number of tokens it shares at least (the largest RUN, 2 RUN, 4 RUN, ... that fits)."""
+    spark = sides.sparkSession
+    size = sides.agg(F.max(F.array_max("prompt")).alias("hi"), F.min(F.array_min("prompt")).alias("lo"), F.sum(F.size("prompt")).alias("n")).first()
+    width = 4 if size["hi"] is None or (size["hi"] < 1 << 32 and size["lo"] >= 0) else 8
+    suffixes = sides.select("id", "side", "prompt").mapInArrow(_suffixes(width), "id bigint, side tinyint, at int, n_runs int, run bigint, key binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // PART))
+    # ids take part in the ranges, so a stretch of a third of all suffixes spreads over partitions
+    array = suffixes.repartitionByRange(parts, "key", "id", "at").sortWithinPartitions("key")
+    found = written(array.mapInArrow(_neighbours(width), "part int, id bigint, side tinyint, at int, n_runs int, run bigint, tokens int, key binary"), "suffix-array")
+    # four keys a partition reach the driver
+    edges = sorted(found.where(F.col("id").isNull()).select("part", "side", "at", "key").collect(), key=lambda r: (bytes(r["key"]), r["at"]))
+    order = list(dict.fromkeys(r["part"] for r in edges))
+    outside: dict[tuple[int, int], list[bytes]] = {}
+    for other in (1, 2):
+        for end, parts_in_order in ((1, order), (0, order[::-1])):
+            own = {r["part"]: bytes(r["key"]) for r in edges if r["side"] == other and r["at"] == end}
+            seen = None
+            for p in parts_in_order:
+                if seen is not None:
+                    outside.setdefault((p, other), []).append(seen)
+                seen = own.get(p, seen)
+    shared = spark.sparkContext.broadcast(outside)
+    return found.where(F.col("id").isNotNull()).mapInArrow(_across(width, shared), "id bigint, side tinyint, at int, n_runs int, run bigint, tokens int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
-        for batch in batches:
-            x, offsets, nulls = flat(batch.column(3))
-            for low, high in chunks(offsets):
-                a, b = offsets[low], offsets[high]
-                row, mark = _own_runs(x[a:b], offsets[low : high + 1] - a, None if nulls is None else nulls[a:b])
-                total = np.bincount(row, minlength=high - low)
-                place = np.searchsorted(known, mark)
-                place[place == len(known)] = 0
-                hit = known[place] == mark if len(known) else np.zeros(len(mark), bool)
-                row, mark, times = row[hit], mark[hit], often[place[hit]]
-                order = np.lexsort((mark, times, row))
-                row, mark = row[order], mark[order]
-                count = np.bincount(row, minlength=high - low)
-                need = np.ceil(similarity * total - 1e-9).astype(np.int64)
-                good = np.flatnonzero((count >= need) & (count > 0))
-                if not len(good):
-                    continue
-                begin = np.cumsum(count) - count
-                lists = lambda n: pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(n[good])]).astype(np.int32)),
-                    pa.array(mark[np.concatenate([np.arange(begin[i], begin[i] + n[i]) for i in good])].view(np.int64)),
-                )
-                rows = pa.array(good + low)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(rows) for k in range(3)), pa.array(total[good].astype(np.int32)), lists(count), lists(np.minimum(count, count - need + 1))],
-                    ["id", "train", "held", "n_runs", "runs", "probes"],
-                )
 
-    return run
+def _sides(prompts: DataFrame) -> DataFrame:
+    """The distinct prompts, numbered, with the sides they stand on (1 train, 2 held out, 3 both)."""
+    sides = prompts.groupBy("key").agg(F.bit_or(F.when(F.col("side"), 1).otherwise(2)).cast("tinyint").alias("side"), F.first("prompt").alias("prompt"))
+    return written(sides.withColumn("id", F.monotonically_increasing_id()), "prompts")
 
 
-def _reach_by_join(sides: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
-    """The same when there are too many shared runs to send."""
+def coverage(prompts: DataFrame, *, least: int = 2 * RUN) -> DataFrame:
+    """Per distinct prompt: key, side (1 train, 2 held out, 3 both), n_tokens, covered: the tokens in spans of at least
+    ``least`` tokens (RUN, 2 RUN, 4 RUN, ...) that also stand in a prompt of the other side, and longest: the longest shared
+    span, rounded down to such a number (0 if none is shared).
+
+    A longer span shows at each of its suffixes, so spans rounded down cover the same tokens."""
+    if least < RUN or least & (least - 1) or RUN & (RUN - 1):
+        raise ValueError("least must be RUN times a power of two")
+    sides = _sides(prompts)
+    span = F.struct("at", (F.col("at") + F.col("tokens")).alias("end"))
+    by_prompt = suffix_spans(sides).groupBy("id").agg(F.sort_array(F.collect_set(F.when(F.col("tokens") >= least, span))).alias("spans"), F.max("tokens").alias("longest"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    merged = F.aggregate(
+        "spans", start, lambda z, x: F.struct((z["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["at"], z["end"]))).alias("n"), F.greatest(z["end"], x["end"]).alias("end")), lambda z: z["n"]
+    )
+    found = by_prompt.select("id", merged.alias("covered"), "longest")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return sides.join(found, "id", "left").select("key", "side", F.size("prompt").alias("n_tokens"), none("covered"), none("longest"))
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, offsets, nulls = flat(batch.column(3))
-            for low, high in chunks(offsets):
-                a, b = offsets[low], offsets[high]
-                row, mark = _own_runs(x[a:b], offsets[low : high + 1] - a, None if nulls is None else nulls[a:b])
-                rows = pa.array(row.astype(np.int64) + low)
-                total = np.bincount(row, minlength=high - low).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), pa.array(total[row]), pa.array(mark.view(np.int64))], ["id", "train", "held", "n_runs", "run"])
 
-    runs = sides.mapInArrow(exploded, "id bigint, train boolean, held boolean, n_runs int, run bigint")
-    need: Column = F.ceil(F.lit(similarity) * F.col("n_runs") - F.lit(1e-9))
-    own = runs.join(shared, "run").groupBy("id", "train", "held", "n_runs").agg(F.sort_array(F.collect_list(F.struct("often", "run"))).alias("own")).where(F.size("own") >= need)
-    names = F.transform("own", lambda r: r["run"])
-    return own.select("id", "train", "held", "n_runs", names.alias("runs"), F.slice(names, F.lit(1), (F.size("own") - need + 1).cast("int")).alias("probes"))
+def _grams(prompt: Column) -> Column:
+    """The distinct runs of RUN tokens of a prompt, token by token; those with a null are none."""
+    at = F.when(F.size(prompt) >= RUN, F.sequence(F.lit(0), F.size(prompt) - RUN)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(at, lambda i: F.slice(prompt, i + 1, RUN))
+    return F.array_distinct(F.filter(runs, lambda r: ~F.exists(r, lambda t: t.isNull())))
 
 
-def similar_prompts(sides: DataFrame, *, similarity: float = SIMILARITY, sent: int = SENT) -> DataFrame:
+def similar_prompts(sides: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """(held, train, similarity) of the prompt keys of both sides of which at least that share of the distinct runs of
     RUN tokens is common. Prompts of fewer tokens have no run and are similar to none. sides: what _sides gave."""
-    spark = sides.sparkSession
-    shared = shared_runs(sides)
-    own = sides.select("id", "train", "held", "prompt")
-    # a pair shares at least need of each prompt's runs, so without one among the first (shared - need + 1) of both, in
-    # one common order, it cannot be one
-    if shared.count() <= sent:
-        rows = shared.toArrow()
-        known = rows.column("run").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        both = spark.sparkContext.broadcast((known[order], rows.column("often").to_numpy()[order]))
-        reach = own.mapInArrow(_reach(similarity, both), "id bigint, train boolean, held boolean, n_runs int, runs array<bigint>, probes array<bigint>")
-    else:
-        reach = _reach_by_join(own, shared, similarity)
-    reach = written(reach, "reach")
-    side = lambda s, p: reach.where(s).select(F.col("id").alias(f"{p}_id"), F.col("n_runs").alias(f"{p}_n"), F.explode("probes").alias("probe"))
+    spans = written(suffix_spans(sides), "spans")
+    # how many suffixes share a stretch decides the common order in which prompts are tried: the rarest first
+    often = spans.groupBy("run").agg(F.count("*").alias("often"))
+    own = spans.join(often, "run").groupBy("id").agg(
+        F.first("side").alias("side"), F.first("n_runs").alias("n_runs"), F.transform(F.sort_array(F.collect_set(F.struct("often", "run"))), lambda r: r["run"]).alias("runs")
+    )
+    # a pair shares at least need of each prompt's runs: a prompt with fewer covered has no partner, and without one
+    # among the first (covered - need + 1) of both, in one common order, a pair cannot be one
+    need = F.ceil(F.lit(similarity) * F.col("n_runs") - F.lit(1e-9)).cast("int")
+    reach = written(own.where(F.size("runs") >= need).withColumn("first", F.size("runs") - need + 1), "reach")
+    # sizes of a pair differ by a factor of 1 / similarity at most, so bands of that width are equal or next to each other
+    band = F.floor(F.log(F.col("n_runs").cast("double")) / math.log(1 / similarity)).cast("int")
+
+    def side(bit: int, p: str, bands: Column) -> DataFrame:
+        rows = reach.where(F.col("side").bitwiseAND(bit) > 0).select(F.col("id").alias(f"{p}_id"), F.col("n_runs").alias(f"{p}_n"), F.size("runs").alias("c"), F.explode(bands).alias("band"), F.slice("runs", F.lit(1), F.col("first")).alias("p"))
+        return rows.select(f"{p}_id", f"{p}_n", "band", "c", F.posexplode("p").alias("place", "probe")).withColumn(f"{p}_left", F.col("c") - F.col("place")).drop("c", "place")
+
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    met = side("held", "a").join(side("train", "b"), "probe").where(low >= F.lit(similarity) * high - F.lit(1e-9)).select("a_id", "b_id").distinct()
+    # nothing before the first probe that both have is common, so no more than the rest of the shorter list can be
+    enough = F.least("a_left", "b_left") >= F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - F.lit(1e-9)
+    met = side(2, "a", F.array(band - 1, band, band + 1)).join(side(1, "b", F.array(band)), ["probe", "band"])
+    met = met.where((low >= F.lit(similarity) * high - F.lit(1e-9)) & enough).select("a_id", "b_id").distinct()
     runs_of = lambda p: reach.select(F.col("id").alias(f"{p}_id"), F.col("n_runs").alias(f"{p}_n"), F.col("runs").alias(f"{p}_runs"))
     pairs = met.join(runs_of("a"), "a_id").join(runs_of("b"), "b_id").withColumn("common", F.size(F.array_intersect("a_runs", "b_runs")))
-    share = F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
-    found = pairs.select("a_id", "b_id", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
-    key = lambda p: sides.select(F.col("id").alias(f"{p}_id"), F.col("key").alias({"a": "held", "b": "train"}[p]))
-    return found.join(key("a"), "a_id").join(key("b"), "b_id").select("held", "train", "similarity")
+    likely = pairs.where(F.col("common") >= similarity * (F.col("a_n") + F.col("b_n") - F.col("common")) - 1e-9).select("a_id", "b_id")
+    # hashes found them; their tokens decide
+    text = lambda p, name: sides.select(F.col("id").alias(f"{p}_id"), F.col("key").alias(name), _grams(F.col("prompt")).alias(f"{p}_grams"))
+    both = likely.join(text("a", "held"), "a_id").join(text("b", "train"), "b_id").withColumn("common", F.size(F.array_intersect("a_grams", "b_grams")))
+    share = F.col("common") / (F.size("a_grams") + F.size("b_grams") - F.col("common"))
+    return both.select("held", "train", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+
+
+def _members(prompts: DataFrame, train: bool, *columns: str) -> DataFrame:
+    return prompts.where("side" if train else "not side").select("index", "key", *columns).distinct()
 
 
-def cross_split_pairs(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, held_out: tuple[str, ...] = ("eval", "test"), train: str = "train", similarity: float = SIMILARITY, sent: int = SENT) -> DataFrame:
+def cross_split_pairs(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, held_out: tuple[str, ...] = ("eval", "test"), train: str = "train", similarity: float = SIMILARITY) -> DataFrame:
     """(held, train, similarity): indexes of a held-out and a training sample with similar prompts.
 
     Samples with null split, tokens or response length, a negative length, or no prompt left take no part; null tokens
@@ -395,8 +290,19 @@ def cross_split_pairs(samples: DataFrame, *, index: str, split: str, tokens: str
     the end. Empty tables give no rows; further columns are ignored.
     """
     prompts = prompts_of(samples, index=index, split=split, tokens=tokens, response_length=response_length, held_out=held_out, train=train)
-    pairs = similar_prompts(_sides(prompts), similarity=similarity, sent=sent)
-    members = written(prompts.select("index", "side", "key").distinct(), "members")
-    held = members.where(~F.col("side")).select(F.col("key").alias("held"), F.col("index").alias("held_index"))
-    other = members.where("side").select(F.col("key").alias("train"), F.col("index").alias("train_index"))
-    return pairs.join(held, "held").join(other, "train").select(F.col("held_index").alias("held"), F.col("train_index").alias("train"), "similarity").distinct()
+    pairs = written(similar_prompts(_sides(prompts), similarity=similarity), "similar")
+    name = lambda side: _members(prompts, side == "train").withColumnsRenamed({"key": side, "index": f"{side}_index"})
+    return pairs.join(name("held"), "held").join(name("train"), "train").select(F.col("held_index").alias("held"), F.col("train_index").alias("train"), "similarity").distinct()
+
+
+def cross_split_counts(samples: DataFrame, *, index: str, split: str, tokens: str, response_length: str, by: tuple[str, ...], held_out: tuple[str, ...] = ("eval", "test"), train: str = "train", similarity: float = SIMILARITY) -> DataFrame:
+    """Per ``by`` (columns of the held-out samples): n_samples with a training counterpart, and n_pairs, as
+    cross_split_pairs has them. Pairs are counted from the sizes of classes of equal prompts, never listed."""
+    names = {"index": index, "split": split, "tokens": tokens, "response_length": response_length, "held_out": held_out, "train": train}
+    prompts = prompts_of(samples, **names)
+    pairs = written(similar_prompts(_sides(prompts), similarity=similarity), "similar")
+    size = _members(prompts, True).groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "train")
+    partners = pairs.join(size, "train").groupBy("held").agg(F.sum("n").alias("n"))
+    own = samples.select(F.col(index).alias("index"), *by).distinct()
+    held = _members(prompts, False).withColumnRenamed("key", "held").join(partners, "held").join(own, "index")
+    return held.groupBy(*by).agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_pairs"))

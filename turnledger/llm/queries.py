@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm.crosssplit import coverage, cross_split_pairs, prompts_of
+from turnledger.llm.crosssplit import coverage, cross_split_counts, cross_split_pairs, prompts_of
 from turnledger.llm.encoding import encode_texts
 from turnledger.llm.leakage import MASKS, leaked_passages
 from turnledger.llm.mojibake import garbled_texts
@@ -75,25 +75,21 @@ def p3_buckets(spark: SparkSession, folder: str) -> DataFrame:
 _SAMPLE = {"index": "index", "split": "split", "tokens": "tokens", "response_length": "response_length"}
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return cross_split_pairs(table(spark, folder, "rollout_samples"), **_SAMPLE)
-
-
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark, folder).select(F.least("held", "train").alias("index_a"), F.greatest("held", "train").alias("index_b")).distinct()
+    pairs = cross_split_pairs(table(spark, folder, "rollout_samples"), **_SAMPLE)
+    return pairs.select(F.least("held", "train").alias("index_a"), F.greatest("held", "train").alias("index_b")).distinct()
 
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out samples with a training counterpart, and such pairs, per split and source."""
-    samples = table(spark, folder, "rollout_samples").select(F.col("index").alias("held"), "split", "source").distinct()
-    by_sample = _pairs(spark, folder).groupBy("held").agg(F.count("*").alias("pairs"))
-    return by_sample.join(samples, "held").groupBy("split", "source").agg(F.count("*").alias("n_samples"), F.sum("pairs").alias("n_pairs"))
+    return cross_split_counts(table(spark, folder, "rollout_samples"), by=("split", "source"), **_SAMPLE)
 
 
 def p5_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Per held-out sample: prompt tokens, and those in spans of 8 or more tokens that a training prompt has too."""
+    """Per held-out sample: prompt tokens, those in spans of 8 or more tokens that a training prompt has too, and the
+    longest such span, rounded down to 4, 8, 16, ... (0 for none)."""
     prompts = prompts_of(table(spark, folder, "rollout_samples"), held_out=("eval", "test"), train="train", **_SAMPLE)
-    return prompts.where(~F.col("side")).select("index", "key").distinct().join(coverage(prompts), "key").select("index", "n_tokens", "covered").distinct()
+    return prompts.where(~F.col("side")).select("index", "key").distinct().join(coverage(prompts), "key").select("index", "n_tokens", "covered", "longest").distinct()
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,6 +156,18 @@ SELECT run_id, CAST(sum(ceil(f.n / w)) AS BIGINT) AS n_pieces, CAST(sum(f.n) AS
 FROM f JOIN w ON f.r = w.run_id GROUP BY run_id""",
     "p5_found": f"WITH {_PAIRS} SELECT DISTINCT least(held, train) AS index_a, greatest(held, train) AS index_b FROM m",
     "p5_counts": f"WITH {_PAIRS} SELECT split, source, count(DISTINCT held) AS n_samples, count(*) AS n_pairs FROM m GROUP BY ALL",
+    "p5_coverage": """
+WITH u AS (SELECT DISTINCT index, split = 'train' AS train, tokens[1:len(tokens) - response_length] AS p FROM rollout_samples
+  WHERE split IN ('train', 'eval', 'test') AND tokens IS NOT NULL AND response_length >= 0 AND len(tokens) - response_length > 0),
+q AS (SELECT p, bool_or(train) AS train, bool_or(NOT train) AS held FROM u GROUP BY p),
+n AS (SELECT p, train, held, unnest([4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS n FROM q),
+g AS (SELECT p, train, held, n, i, md5(p[i:i + n - 1]::VARCHAR) AS g FROM (SELECT *, unnest(range(1, len(p) - n + 2)) AS i FROM n WHERE len(p) >= n)),
+t AS (SELECT DISTINCT n, g FROM g WHERE train),
+h AS (SELECT DISTINCT g.p, g.n, g.i FROM g JOIN t ON t.n = g.n AND t.g = g.g WHERE held),
+c AS (SELECT p, count(DISTINCT k) AS covered FROM (SELECT p, unnest(range(i, i + 8)) AS k FROM h WHERE n = 8) GROUP BY p),
+l AS (SELECT p, max(n) AS longest FROM h GROUP BY p)
+SELECT DISTINCT u.index, len(u.p) AS n_tokens, coalesce(covered, 0) AS covered, coalesce(longest, 0) AS longest
+FROM u LEFT JOIN c ON c.p = u.p LEFT JOIN l ON l.p = u.p WHERE NOT u.train""",
     "p7_found": """
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w FROM eval_items WHERE text IS NOT NULL),
