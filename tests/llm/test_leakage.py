@@ -93,3 +93,28 @@ def test_substitutions_anywhere_against_brute_force_alignment(spark):
     got = {(r["document"], r["item"]) for r in found(spark, docs, items)}
     assert got == want and len(want) > 40
     assert len(want & {(r["document"], r["item"]) for r in found(spark, docs, items, masks=MASKS)}) < 0.9 * len(want)
+
+
+@pytest.mark.parametrize("masks", [None, MASKS])
+def test_repeated_words_on_both_sides(spark, monkeypatch, masks):
+    """Documents and items of few distinct words, whose seeds meet at nearly all places."""
+    from turnledger.llm import leakage as L
+
+    monkeypatch.setattr(L, "HITS", 500)
+    rng = random.Random(3)
+    mixed = lambda n: " ".join(rng.choice("ab") if rng.random() < 0.2 else "a" for _ in range(n))
+    docs = [(1, "a " * 700, ""), (2, "a b " * 200, ""), (3, mixed(300), ""), (4, "b " * 13 + mixed(90), "")]
+    items = [(1, "a " * 60, ""), (2, "b a " * 20, ""), (3, mixed(80), ""), (4, "b " * 15, "")]
+    want = {}
+    for d, a, _ in docs:
+        for i, b, _ in items:
+            x, y = ([w.encode() for w in words(t)] for t in (a, b))
+            every = [o for s in range(-len(y) + 1, len(x)) if (o := overlap(x, y, s))[2] >= 12]
+            if every:
+                n, subs, at = max((o[2] - o[3], o[2], o[3], o[1]) for o in every)[1:4]
+                want[d, i] = (max(o[0] for o in every), at, n, subs)
+    got = {(r["document"], r["item"]): (r["exact_words"], r["start_word"], r["overlap_words"], r["substitutions"]) for r in found(spark, docs, items, **({"masks": masks} if masks else {}))}
+    if masks:  # masks promise the exact runs
+        assert {k for k, v in want.items() if v[0] >= 12} <= set(got)
+    else:
+        assert got == want and len(want) > 10

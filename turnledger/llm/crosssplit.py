@@ -272,8 +272,9 @@ def similar_prompts(sides: DataFrame, *, similarity: float = SIMILARITY) -> Data
     pairs = met.join(runs_of("a"), "a_id").join(runs_of("b"), "b_id").withColumn("common", F.size(F.array_intersect("a_runs", "b_runs")))
     likely = pairs.where(F.col("common") >= similarity * (F.col("a_n") + F.col("b_n") - F.col("common")) - 1e-9).select("a_id", "b_id")
     # hashes found them; their tokens decide
-    text = lambda p, name: sides.select(F.col("id").alias(f"{p}_id"), F.col("key").alias(name), _grams(F.col("prompt")).alias(f"{p}_grams"))
-    both = likely.join(text("a", "held"), "a_id").join(text("b", "train"), "b_id").withColumn("common", F.size(F.array_intersect("a_grams", "b_grams")))
+    text = lambda p, name: sides.select(F.col("id").alias(f"{p}_id"), F.col("key").alias(name), F.col("prompt").alias(f"{p}_prompt"))
+    both = likely.join(text("a", "held"), "a_id").join(text("b", "train"), "b_id").withColumns({f"{p}_grams": _grams(F.col(f"{p}_prompt")) for p in "ab"})
+    both = both.withColumn("common", F.size(F.array_intersect("a_grams", "b_grams")))
     share = F.col("common") / (F.size("a_grams") + F.size("b_grams") - F.col("common"))
     return both.select("held", "train", share.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
 

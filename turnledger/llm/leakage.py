@@ -29,6 +29,8 @@ MASKS = ("111011010111", "110111101011")
 BLOCK_WORDS = 2_000_000
 #: A stretch gains 1 for an equal word and loses this much for a substituted one.
 SUBSTITUTION = 3
+#: Hits of seeds that are held at a time (40 bytes each), and shifts of a document and an item verified word by word.
+HITS, FEW = 1_000_000, 8
 #: Words of an overlap, and equal words at both its ends, at least.
 LEAST, ENDS = 12, "1" * (SUBSTITUTION + 1)
 
@@ -94,6 +96,7 @@ class SeedIndex:
         folded, start, end, hashes, bounds = words_of(pa.array(texts, pa.string()))
         raw = folded.tobytes()
         self.words = [[raw[a:b] for a, b in zip(start[i:j], end[i:j], strict=True)] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.hashes = [hashes[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         self.seeds, self.text, self.at, self.bits = [], [], [], []
         for k, mask in enumerate(self.masks):
             seed, text, at = seeds_of(hashes, bounds, mask, k + 1)
@@ -107,27 +110,41 @@ class SeedIndex:
 
     def diagonals(self, hashes: np.ndarray, bounds: np.ndarray, apart: int = 0) -> np.ndarray:
         """Distinct (document, item, word of the document minus word of the item) that some mask hits, first and last
-        at least ``apart`` words from one another."""
-        found = []
+        at least ``apart`` words from one another. Hits are reduced to diagonals HITS at a time, so a word that is
+        repeated on both sides takes time, not memory."""
+        found = np.zeros((0, 5), np.int64)  # document, item, shift, first and last place
         for k, mask in enumerate(self.masks):
             seed, text, at = seeds_of(hashes, bounds, mask, k + 1)
             slot = seed >> np.uint64(42)
             maybe = np.flatnonzero((self.bits[k][slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1)
             low = np.searchsorted(self.seeds[k], seed[maybe], "left")
             n = np.searchsorted(self.seeds[k], seed[maybe], "right") - low
-            hit = np.repeat(maybe, n)
-            if not len(hit):
-                continue
-            own = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = at[hit] - bounds[text[hit]]
-            found.append(np.stack([text[hit], self.text[k][own], place - self.at[k][own], place], axis=1))
-        if not found:
-            return np.zeros((0, 3), np.int64)
-        rows = np.concatenate(found)
-        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 0] * len(self.ids) + rows[:, 1]))]
-        first = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
-        last = np.append(first[1:], len(rows)) - 1
-        return rows[first[rows[last, 3] - rows[first, 3] >= apart], :3]
+            maybe, low, n = maybe[n > 0], low[n > 0], n[n > 0]
+            total = np.cumsum(n)
+            done = 0
+            while done < len(n):
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + HITS, "right")))
+                part = slice(done, upto)
+                hit = np.repeat(maybe[part], n[part])
+                own = np.repeat(low[part], n[part]) + np.arange(len(hit)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                place = at[hit] - bounds[text[hit]]
+                found = _spans(np.concatenate([found, np.stack([text[hit], self.text[k][own], place - self.at[k][own], place, place], axis=1)]), len(self.ids))
+                done = upto
+        return found[found[:, 4] - found[:, 3] >= apart, :3]
+
+
+def _spans(rows: np.ndarray, items: int) -> np.ndarray:
+    """(document, item, shift, first, last), each diagonal once."""
+    if not len(rows):
+        return rows
+    shift = rows[:, 2] - rows[:, 2].min()
+    pair = rows[:, 0] * items + rows[:, 1]
+    order = np.argsort(pair * (int(shift.max()) + 1) + shift, kind="stable") if int(pair.max() + 1) * int(shift.max() + 1) < 2**62 else np.lexsort((shift, pair))
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))
+    rows[first, 3] = np.minimum.reduceat(rows[:, 3], first)
+    rows[first, 4] = np.maximum.reduceat(rows[:, 4], first)
+    return rows[first]
 
 
 def overlap(document: list[bytes], item: list[bytes], shift: int) -> tuple[int, int, int, int]:
@@ -152,6 +169,31 @@ def overlap(document: list[bytes], item: list[bytes], shift: int) -> tuple[int,
     return longest, *found
 
 
+def overlaps(document: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """overlap for many shifts of two texts at once, by word hashes: a step of all shifts per word of the item."""
+    n, gone = len(shifts), len(document)
+    run, longest, score, best, subs = (np.zeros(n, dtype=np.int32) for _ in range(5))
+    start = np.maximum(0, shifts).astype(np.int64)
+    found = np.stack([start, np.zeros(n, np.int64), np.zeros(n, np.int64)], axis=1)
+    for j, word in enumerate(item):
+        at = shifts + j
+        inside = (at >= 0) & (at < gone)
+        same = inside & (document[np.clip(at, 0, gone - 1)] == word)
+        other = inside & ~same
+        run = np.where(same, run + 1, 0)
+        np.maximum(longest, run, out=longest)
+        score = score + same - SUBSTITUTION * other
+        subs = subs + other
+        better = np.flatnonzero(same & (score > best))
+        best[better] = score[better]
+        found[better] = np.stack([start[better], at[better] + 1 - start[better], subs[better]], axis=1)
+        lost = other & (score <= 0)
+        score[lost] = 0
+        subs[lost] = 0
+        start[lost] = at[lost] + 1
+    return np.concatenate([longest[:, None], found], axis=1)
+
+
 def _matches(index, id_type: pa.DataType, least: int, apart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: SeedIndex = index.value
@@ -159,16 +201,29 @@ def _matches(index, id_type: pa.DataType, least: int, apart: int):
             folded, start, end, hashes, bounds = words_of(batch.column(1))
             rows: dict[tuple[int, int], tuple] = {}
             current, words = -1, []
-            for text, item, shift in own.diagonals(hashes, bounds, apart).tolist():
+            found = own.diagonals(hashes, bounds, apart)
+            cuts = np.append(np.flatnonzero(np.append(True, (found[1:, :2] != found[:-1, :2]).any(axis=1))), len(found)) if len(found) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                text, item = (int(x) for x in found[a, :2])
+                shifts = found[a:b, 2]
+                if len(shifts) > FEW:  # of many shifts only the best by hashes are laid word over word
+                    scored = overlaps(hashes[bounds[text] : bounds[text + 1]], own.hashes[item], shifts)
+                    long = scored[:, 2] >= least
+                    shifts, scored = shifts[long], scored[long]
+                    if not len(shifts):
+                        continue
+                    best = np.lexsort((scored[:, 1], scored[:, 3], scored[:, 2], scored[:, 2] - scored[:, 3]))[-1]
+                    shifts = shifts[sorted({int(best), int(np.argmax(scored[:, 0]))})]
                 if text != current:
                     i, j = bounds[text], bounds[text + 1]
                     raw = folded[start[i] : end[j - 1]].tobytes()
                     current, words = text, [raw[a:b] for a, b in zip((start[i:j] - start[i]).tolist(), (end[i:j] - start[i]).tolist(), strict=True)]
-                exact, at, length, subs = overlap(words, own.words[item], shift)
-                if length >= least:
-                    was = rows.get((text, item), (0, 0, 0, 0))
-                    best = max((length - subs, length, subs, at), (was[2] - was[3], was[2], was[3], was[1]))
-                    rows[text, item] = (max(exact, was[0]), best[3], best[1], best[2])
+                for shift in shifts.tolist():
+                    exact, at, length, subs = overlap(words, own.words[item], shift)
+                    if length >= least:
+                        was = rows.get((text, item), (0, 0, 0, 0))
+                        best = max((length - subs, length, subs, at), (was[2] - was[3], was[2], was[3], was[1]))
+                        rows[text, item] = (max(exact, was[0]), best[3], best[1], best[2])
             if rows:
                 at = pa.array([t for t, _ in rows], pa.int64())
                 values = np.array(list(rows.values()), dtype=np.int32)
