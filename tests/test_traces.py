@@ -77,3 +77,22 @@ def test_hot_parent(spark):
     children = children.withColumns({"trace_version": F.lit(2), "record_type": F.lit("generation"), "trace_id": F.lit("t"), "evidence_kind": F.lit("synthetic"), "session_id": F.lit("s"), "branch_id": F.lit("b"), "turn_id": F.concat(F.lit("c"), "sequence"), "parent_turn_id": F.lit("p"), "token_space": F.lit("x"), "input_ids": F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")), "output_ids": F.array(F.lit(3).cast("bigint")), "contract": F.struct(F.lit(GOOD[0]).alias("version"), F.lit(GOOD[1]).alias("mode"), F.lit(GOOD[2]).alias("history_policy"))})
     found = verdicts(df.unionByName(children)).groupBy("status").count().collect()
     assert [(r["status"], r["count"]) for r in found] == [("PASS", 2999)]
+
+
+def test_parents_are_the_same_sent_or_joined(spark):
+    """Children that keep, change, shorten or contain nulls in what their parent left, redelivered, and with a repeated turn."""
+    rows = [generation(0, "a", None, [1, 2], [3]), generation(1, "b", "a", [1, 2, 3, 4], [5]), generation(2, "c", "a", [1, 9, 3], [5]), generation(3, "d", "a", [1, 2], [5]), generation(4, "e", "a", [1, 2, None], [5])]
+    rows += [generation(5, "n", None, [1, None], [2]), generation(6, "f", "n", [1, None, 2], [5]), generation(7, "g", "n", [1, 2], [5]), generation(8, "a", None, [7], [8]), generation(9, "h", "a", [1, 2, 3], [5]), generation(10, "i", "none", [1], [1])]
+    rows += [generation(11, "x", None, None, [2]), generation(12, "y", "x", [2], [2]), generation(13, "z", "x", None, [2]), rows[1], rows[2]]
+    df = table(spark, rows)
+    shown = lambda sent: sorted(map(str, transitions(df, sent=sent).collect()))
+    assert shown(0) == shown(1000) and len(shown(0)) == 12
+    got = {r["sequence"]: (r["status"], r["previous_sequence"], r["previous"]["input_ids"]) for r in verdicts_with_previous(df)}
+    assert got[1] == ("PASS", 0, [1, 2]) and got[2] == ("FAIL", 0, [1, 2]) and got[3] == ("FAIL", 0, [1, 2]) and got[9] == ("PASS", 0, [1, 2])
+    assert got[4][0] == "ERROR" and got[6] == ("ERROR", 5, [1, None]) and got[10] == ("INCONCLUSIVE", None, None) and got[12] == ("INCONCLUSIVE", 11, None)
+
+
+def verdicts_with_previous(df):
+    from turnledger.operators.contract import check_transitions
+
+    return check_transitions(transitions(df)).collect()

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.functions.arrays import history, valid_tokens
 from turnledger.operators.contract import FOLLOWING, PREVIOUS, PRIORITY, check_transitions
 from turnledger.operators.rules import first_broken
+from turnledger.session import written
 
 KEY = ("trace_id", "sequence")
 SCOPE = ("trace_id", "session_id", "branch_id")
+#: Children whose parents (about 200 bytes each) are sent to the tasks; beyond, they are joined.
+SENT = 300_000
 
 
 def record_error(has_parent_key: Column | None = None) -> Column:
@@ -18,33 +24,63 @@ def record_error(has_parent_key: Column | None = None) -> Column:
     return first_broken(F.col, kind=F.col("record_type"), declared=has_parent_key)
 
 
-def transitions(records: DataFrame) -> DataFrame:
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return same
+
+
+def _digest(tokens: Column) -> Column:
+    return F.sha2(F.array_join(tokens.cast("array<string>"), ",", "-"), 256)
+
+
+def transitions(records: DataFrame, *, sent: int = SENT) -> DataFrame:
     """One row per generation with a declared parent, in the form check_transitions needs.
 
     The parent is the first record of that turn in the same trace, session and branch, and must come earlier; a child
-    without one keeps its row with an empty previous. Contract and evidence come from the child. The parent's side is
-    reduced to one row per turn before the join, so a join key is unique on that side and its skew can be split.
+    without one keeps its row with an empty previous. Contract and evidence come from the child.
+
+    Children find their parents without tokens: keys, lengths and the SHA-256 of what the parent left behind are joined,
+    the parents' side reduced to one row per turn, so that its key is unique and skew of the other side can be split.
+    A child whose input begins with tokens of that digest has the parent's tokens itself. Only for the others are the
+    parents' tokens fetched. With up to ``sent`` children, what was found goes to where the tokens lie; beyond, the tokens
+    of children, and those of parents to fetch, are moved once.
     """
     made = records.where(F.col("record_type") == "generation")
-    first = made.where(F.col("turn_id").isNotNull()).groupBy(*SCOPE, "turn_id").agg(
-        F.min_by(F.struct(*PREVIOUS, "sequence", "termination", "metadata"), "sequence").alias("parent")
-    )
+    link = ("session_id", "branch_id", "turn_id", "parent_turn_id")
+    left_behind = history(F.col("input_ids"), F.col("output_ids"))
+    sound = valid_tokens(F.col("input_ids")) & valid_tokens(F.col("output_ids"))
+    narrow = F.struct("sequence", "token_space", F.size("input_ids").alias("n_in"), F.size("output_ids").alias("n_out"), F.when(sound, _digest(left_behind)).alias("digest"))
+    first = made.where(F.col("turn_id").isNotNull()).groupBy(*SCOPE, "turn_id").agg(F.min_by(narrow, "sequence").alias("p"))
     child = made.where(F.col("parent_turn_id").isNotNull())
-    c, p = child.alias("c"), first.alias("p")
-    on = (F.col("p.turn_id") == F.col("c.parent_turn_id")) & (F.col("p.parent.sequence") < F.col("c.sequence"))
-    for name in SCOPE:
-        on = on & F.col(f"p.{name}").eqNullSafe(F.col(f"c.{name}"))
-    joined = c.join(p, on, "left")
-    nothing = F.struct(*(F.lit(None).cast(made.schema[x].dataType).alias(x) for x in PREVIOUS))
-    kept = F.struct(*(F.col(f"p.parent.{x}").alias(x) for x in PREVIOUS))
+    keys = child.select("trace_id", "sequence", *link).distinct().alias("c")
+    on = _same("c", "f", SCOPE) & (F.col("f.turn_id") == F.col("c.parent_turn_id")) & (F.col("f.p.sequence") < F.col("c.sequence"))
+    met = keys.join(first.alias("f"), on).select(*(F.col(f"c.{c}") for c in ("trace_id", "sequence", *link)), "p")
+    # no more parents are found, or fetched, than there are children; counting these reads two columns
+    few = child.count() <= sent
+    at_hand = F.broadcast if few else lambda df: written(df, "parents")
+    near = at_hand(met)
+    p = F.col("m.p")
+    own = F.slice("c.input_ids", F.lit(1), p["n_in"] + p["n_out"])
+    kept = F.coalesce((F.size(own) == p["n_in"] + p["n_out"]) & (_digest(own) == p["digest"]), F.lit(False))
+    wide = child.alias("c").join(near.alias("m"), _same("c", "m", ("trace_id", "sequence", *link)), "left").select(*(F.col(f"c.{c}") for c in child.columns), F.col("m.p").alias("__p"), kept.alias("__kept"))
+    # the parent's own tokens, where the child does not have them
+    asked = at_hand(wide.where(~F.col("__kept") & F.col("__p").isNotNull()).select("trace_id", "session_id", "branch_id", F.col("parent_turn_id").alias("turn_id"), F.col("__p.sequence").alias("sequence")).distinct())
+    whole = made.alias("a").join(asked.alias("l"), _same("a", "l", ("trace_id", "session_id", "branch_id", "turn_id", "sequence")), "left_semi")
+    fetched = whole.groupBy(*SCOPE, "turn_id", "sequence").agg(F.first(F.struct("input_ids", "output_ids")).alias("t"))
+    here, p = wide.alias("c"), F.col("c.__p")
+    on = _same("c", "x", SCOPE) & (F.col("x.turn_id") == F.col("c.parent_turn_id")) & F.col("x.sequence").eqNullSafe(p["sequence"]) & ~F.col("c.__kept")
+    joined = here.join(fetched.alias("x"), on, "left")
+    ids = {"input_ids": F.slice("c.input_ids", F.lit(1), p["n_in"]), "output_ids": F.slice("c.input_ids", p["n_in"] + 1, p["n_out"])}
+    ids = {c: F.when(F.col("c.__kept"), own).otherwise(F.col(f"x.t.{c}")) for c, own in ids.items()}
+    before = {"session_id": F.col("c.session_id"), "branch_id": F.col("c.branch_id"), "turn_id": F.col("c.parent_turn_id"), "token_space": p["token_space"], **ids}
+    previous = F.struct(*(F.when(p.isNotNull(), before[c]).alias(c) for c in PREVIOUS))
     following = F.struct(*(F.col("c.parent_turn_id" if x == "previous_turn_id" else f"c.{x}").alias(x) for x in FOLLOWING))
     return joined.select(
         *(F.col(f"c.{x}").alias(x) for x in ("trace_id", "sequence", "turn_id", "evidence_kind", "contract", "boundaries")),
-        F.format_string("transition-%06d", F.col("c.sequence")).alias("case_id"),
-        F.col("p.parent.sequence").alias("previous_sequence"),
-        F.when(F.col("p.parent").isNull(), nothing).otherwise(kept).alias("previous"),
-        following.alias("following"),
-    )
+        F.format_string("transition-%06d", F.col("c.sequence")).alias("case_id"), p["sequence"].alias("previous_sequence"), previous.alias("previous"), following.alias("following"),
+    )
 
 
 def verdicts(records: DataFrame, *, identities: bool = False) -> DataFrame:
