@@ -35,6 +35,19 @@ def normalised_rewards(samples: DataFrame, *, group: Sequence[str], reward: str
     )
 
 
+def round_statistics(samples: DataFrame, *, round_: str, group: Sequence[str]) -> DataFrame:
+    """Per round: groups whose rewards differ, samples with a nonzero advantage (normalised reward), the sum of rewards and
+    the trainable (response) tokens. Null rounds are a round; the keys of a group include its round."""
+    rows = normalised_rewards(samples, group=group)
+    varied = group_rewards(samples, group=group).groupBy(round_).agg(F.count_if(F.col("n_rewards") > 1).alias("n_varied_groups"))
+    fits = F.col("response_length").between(0, F.size("tokens"))
+    sums = rows.groupBy(round_).agg(
+        F.count_if(F.coalesce(F.abs("normalised") > 0, F.lit(False))).alias("n_nonzero"), F.sum("reward").alias("reward_sum"),
+        F.coalesce(F.sum(F.when(fits, F.col("response_length"))), F.lit(0)).cast("bigint").alias("trainable"),
+    )
+    return varied.alias("v").join(sums.alias("s"), F.col(f"v.{round_}").eqNullSafe(F.col(f"s.{round_}"))).select("v.*", "s.n_nonzero", "s.reward_sum", "s.trainable")
+
+
 def sample_violations(samples: DataFrame) -> DataFrame:
     """One row per sample and rule it breaks: index, rule. Needs the columns of rollout samples."""
     tokens, length, logs = F.col("tokens"), F.col("response_length"), F.col("rollout_log_probs")

@@ -131,6 +131,13 @@ def trace_errors(records: DataFrame) -> DataFrame:
     )
 
 
+def capture_gaps(records: DataFrame) -> DataFrame:
+    """Per trace with gaps: gaps, the (sequence, reason) of all of them in order, each once. Gaps are rare by nature; a trace
+    of nothing but gaps is the one case in which its row is as long as the trace."""
+    once = records.where(F.col("record_type") == "capture_gap").select("trace_id", "sequence", "reason").distinct()
+    return once.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("sequence", "reason"))).alias("gaps"))
+
+
 def trace_reports(records: DataFrame) -> DataFrame:
     """One verdict per trace. A broken trace is an ERROR whatever its transitions say; a gap, or a missing footer in
     version 2, makes anything but FAIL inconclusive; a trace without transitions is inconclusive."""
