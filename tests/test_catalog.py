@@ -12,7 +12,7 @@ TABLES = "/root/testdata/sf0.001"
 
 
 def test_queries_have_names_and_sql():
-    assert set(catalog.ORACLE) <= set(catalog.QUERIES) and set(catalog.QUERIES) - set(catalog.ORACLE) == {"capture_admission", "sealed_files"}
+    assert set(catalog.ORACLE) <= set(catalog.QUERIES) and set(catalog.QUERIES) - set(catalog.ORACLE) == {"sealed_files"}
 
 
 def test_the_rest_does_not_need_the_corpus_operators():

@@ -1,6 +1,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from turnledger.streaming.admission import EVENTS, admitted, replayed
 
 NAMES = [c.split()[0] for c in EVENTS.split(", ")]
@@ -50,13 +52,14 @@ def test_rules_of_admission(spark):
 
 
 def test_seal_waits_for_requests_and_counts(spark):
-    got = replayed(table(spark, clean("t"))).collect()
+    ordered = lambda df: df.orderBy("event_no", F.col("sequence").isNull(), "sequence").collect()
+    got = ordered(replayed(table(spark, clean("t"))))
     kinds = [(r["event_no"], r["record_type"], r["reason"]) for r in got]
     assert kinds == [(2, "generation", None), (4, "generation", None), (4, "capture_complete", None), (5, "refused", "sealed"), (6, "refused", "sealed")]
     assert got[2]["generations"] == got[2]["expected_generations"] == 2 and got[2]["capture_gaps"] == 0
     short = [e | ({"expected": 9} if e["kind"] == "finish" else {}) for e in clean("t")][:5]
-    assert [r["reason"] for r in replayed(table(spark, short)).collect()][2:] == ["http_request_count_mismatch", "capture_incomplete"]
-    limited = replayed(table(spark, clean("t")), limit=1).collect()
+    assert [r["reason"] for r in ordered(replayed(table(spark, short)))][2:] == ["http_request_count_mismatch", "capture_incomplete"]
+    limited = ordered(replayed(table(spark, clean("t")), limit=1))
     assert (limited[0]["record_type"], limited[0]["reason"]) == ("refused", "admission_closed")
 
 
@@ -73,3 +76,24 @@ def test_stream_equals_table(spark, tmp_path):
     query.awaitTermination(240)
     assert query.exception() is None
     assert shown(spark.table("admitted").collect()) == shown(replayed(table(spark, events)).collect())
+
+
+def test_callbacks_stops_and_wire_limit(spark):
+    def callback(n, turn, **more):
+        return event(n, "callback", session_id="s", branch_id="b", turn_id=turn, input_ids=[1, 2], output_ids=[3], **more)
+
+    def reasons(events, **how):
+        return [(r["event_no"], r["record_type"], r["reason"]) for r in replayed(table(spark, events), **how).orderBy("event_no", F.col("sequence").isNull(), "sequence").collect()]
+
+    nameless = {"session_id": None, "branch_id": None, "turn_id": None}
+    bad = [callback(0, "a", reason="it raised"), callback(1, "b") | nameless, callback(2, "c") | {"output_ids": []}, callback(3, "d"), callback(4, "d"), event(5, "health", expected=9)]
+    assert reasons(bad) == [
+        (0, "capture_gap", "context_resolver_failed"), (1, "capture_gap", "turn_context_missing"), (2, "capture_gap", "turn_record_capture_failed"), (3, "generation", None), (4, "capture_gap", "turn_record_capture_failed"),
+        (5, "capture_gap", "served_turn_count_mismatch"), (5, "refused", "capture_incomplete"),
+    ]
+    assert reasons([callback(0, "a"), callback(1, "b", parent_turn_id="a"), event(2, "health", expected=2)])[-1] == (2, "capture_complete", None)
+    assert replayed(table(spark, [callback(0, "a")])).first()["input_ids"] == [1, 2]
+    for kind, reason in (("deadline", "http_run_deadline_exceeded"), ("interrupt", "http_run_interrupted"), ("abort", "http_owner_aborted")):
+        assert reasons([request(0, "a"), event(1, kind), request(2, "b"), response(3, 0)]) == [(1, "capture_gap", reason), (2, "refused", "admission_closed"), (3, "generation", None)]
+    wide = response(3, 2) | {"output_ids": list(range(100))}
+    assert reasons([request(0, "a"), response(1, 0), request(2, "b"), wide, request(4, "c")], wire_limit=50) == [(1, "generation", None), (3, "capture_gap", "http_wire_size_limit"), (4, "refused", "admission_closed")]

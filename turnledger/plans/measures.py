@@ -12,10 +12,10 @@ from turnledger.session import table
 
 
 def _trials(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as trials: two of one user in a row are a pair of arms, every user a benchmark."""
+    """Events as trials: two in a row are a pair of arms. In every tenth benchmark the type of an event is its work."""
     e = table(spark, folder, "events")
     pair, mode = F.floor(F.col("event_id") / 2), F.when(F.col("event_id") % 2 == 0, "off").otherwise("on")
-    return e.select((pair % 50).alias("bench"), pair.alias("pair"), mode.alias("mode"), F.col("value").alias("elapsed_seconds"), (pair % 97).alias("work"), "event_type")
+    return e.select((pair % 50).alias("bench"), pair.alias("pair"), mode.alias("mode"), F.col("value").alias("elapsed_seconds"), F.when(pair % 10 == 3, F.col("event_type")).alias("work"), "event_type")
 
 
 def paired_deltas(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,9 +113,11 @@ _P = "p AS (SELECT (event_id // 2) % 50 AS bench, event_id // 2 AS pair, max(val
 _PLAN = ", ".join(f"({i}, '{m}')" for i, m in enumerate(m for arms in order_plan(20, 0) for m in arms))
 _WEIGHT = " + ".join(f"(h >= {x})::INT" for x in WEIGHT_FROM)
 ORACLE = {
-    "paired_deltas": f"""WITH {_P} SELECT bench, CASE WHEN count(*) FILTER (c = 2) < 2 OR count(*) FILTER (c <> 2) > 0 THEN 'INCOMPLETE' ELSE 'COMPARABLE' END AS status, count(*) FILTER (c = 2) AS n_pairs,
-  count(*) FILTER (c <> 2) AS n_incomplete, 0 AS n_mismatched, round(avg(on_), 6) AS on_mean, round(avg(off_), 6) AS off_mean, round(avg(on_ - off_), 6) AS delta_mean,
-  round(median(on_), 6) AS on_median, round(median(off_), 6) AS off_median, round(median(on_ - off_), 6) AS delta_median, round(100 * avg(on_ - off_) / avg(off_), 6) AS delta_percent FROM p GROUP BY bench""",
+    "paired_deltas": f"""WITH {_P},
+s AS (SELECT bench, count(*) FILTER (c = 2) AS n_pairs, count(*) FILTER (c <> 2) AS n_incomplete, count(*) FILTER (c = 2 AND k > 1 AND bench % 10 = 3) AS n_mismatched, avg(on_) AS a, avg(off_) AS b, avg(on_ - off_) AS d,
+  median(on_) AS ma, median(off_) AS mb, median(on_ - off_) AS md FROM p GROUP BY bench),
+t AS (SELECT *, CASE WHEN n_pairs < 2 OR n_incomplete > 0 THEN 'INCOMPLETE' WHEN n_mismatched > 0 THEN 'NOT_COMPARABLE' ELSE 'COMPARABLE' END AS status FROM s)
+SELECT bench, status, n_pairs, n_incomplete, n_mismatched, {", ".join(f"CASE WHEN status = 'COMPARABLE' THEN round({x}, 6) END AS {n}" for x, n in (("a", "on_mean"), ("b", "off_mean"), ("d", "delta_mean"), ("ma", "on_median"), ("mb", "off_median"), ("md", "delta_median"), ("100 * d / b", "delta_percent")))} FROM t""",
     "mismatched_pairs": f"WITH {_P} SELECT bench, count(*) AS n_pairs, count(*) FILTER (k > 1) AS n_mismatched FROM p WHERE c = 2 GROUP BY bench",
     "value_percentiles": "SELECT event_type, median(value) AS median, quantile_cont(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY event_type",
     "bootstrap": f"""WITH {_P}, d AS (SELECT bench, pair AS k, on_ - off_ AS v FROM p WHERE c = 2),

@@ -34,17 +34,24 @@ def _emitted(turns: DataFrame) -> DataFrame:
     ends = turns.groupBy(*SCOPE).agg(F.max_by(F.struct("input_ids", "output_ids"), "sequence").alias("z"), F.min_by(F.size("input_ids"), "sequence").alias("prompt"))
     tokens = history(F.col("z.input_ids"), F.col("z.output_ids"))
     df = ends.select(*SCOPE, F.lit("last").alias("sample_id"), tokens.alias("tokens"), (F.size(tokens) - F.col("prompt")).alias("response_length")).where(F.col("response_length") > 0)
+    # some samples are trained on twice
+    df = df.unionByName(df.where(F.size("tokens") % 3 == 0).withColumn("sample_id", F.lit("again")))
     return df.withColumn("loss_mask", F.transform(F.sequence(F.lit(1), F.col("response_length")), lambda i: F.when(i % 10 == 0, 0).otherwise(1)))
 
 
+def _retried(turns: DataFrame) -> DataFrame:
+    """Turns of which some were sampled twice with the same tokens: what they made cannot be told apart."""
+    return turns.unionByName(turns.where(F.size("output_ids") % 5 == 0).withColumn("turn_id", F.concat("turn_id", F.lit("~retry"))))
+
+
 def attribution(spark: SparkSession, folder: str) -> DataFrame:
     turns = _turns(spark, folder)
-    return attribution_totals(turns, _emitted(turns), scope=SCOPE)
+    return attribution_totals(_retried(turns), _emitted(turns), scope=SCOPE)
 
 
 def turn_retention(spark: SparkSession, folder: str) -> DataFrame:
     turns = _turns(spark, folder)
-    return retention(turns, _emitted(turns), scope=SCOPE)
+    return retention(_retried(turns), _emitted(turns), scope=SCOPE)
 
 
 def sample_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,8 +182,9 @@ g AS (SELECT * FROM trace WHERE record_type = 'generation' AND len(input_ids) >
 t AS (SELECT trace_id, session_id, branch_id, turn_id, sequence, input_ids, output_ids FROM g QUALIFY row_number() OVER (PARTITION BY trace_id, session_id, branch_id, turn_id ORDER BY sequence) = 1)"""
 _A = f"""{_T},
 z AS (SELECT trace_id, session_id, branch_id, arg_max(list_concat(input_ids, output_ids), sequence) AS tokens, arg_min(len(input_ids), sequence) AS prompt FROM t GROUP BY ALL),
-e AS (SELECT *, len(tokens) - prompt AS n FROM z WHERE len(tokens) > prompt),
-mk AS (SELECT trace_id, session_id, branch_id, turn_id, len(output_ids) AS made, i, md5(list_concat(input_ids, output_ids)[1:len(input_ids) + i + 1]::VARCHAR) AS k FROM (SELECT *, unnest(range(0, len(output_ids))) AS i FROM t)),
+e AS (SELECT *, len(tokens) - prompt AS n, unnest(CASE WHEN len(tokens) % 3 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM z WHERE len(tokens) > prompt),
+tt AS (SELECT * FROM t UNION ALL SELECT trace_id, session_id, branch_id, turn_id || '~retry', sequence, input_ids, output_ids FROM t WHERE len(output_ids) % 5 = 0),
+mk AS (SELECT trace_id, session_id, branch_id, turn_id, len(output_ids) AS made, i, md5(list_concat(input_ids, output_ids)[1:len(input_ids) + i + 1]::VARCHAR) AS k FROM (SELECT *, unnest(range(0, len(output_ids))) AS i FROM tt)),
 kk AS (SELECT trace_id, session_id, branch_id, k, count(*) AS c, min(turn_id) AS turn_id, min(i) AS i FROM mk GROUP BY ALL),
 sp AS (SELECT trace_id, session_id, branch_id, md5(tokens[1:prompt + i + 1]::VARCHAR) AS k FROM (SELECT *, unnest(range(0, n)) AS i FROM e) WHERE (i + 1) % 10 <> 0),
 f AS (SELECT sp.trace_id, sp.session_id, sp.branch_id, coalesce(c, 0) AS c, turn_id, i FROM sp LEFT JOIN kk ON kk.trace_id = sp.trace_id AND kk.session_id = sp.session_id AND kk.branch_id = sp.branch_id AND kk.k = sp.k),
@@ -201,16 +209,16 @@ _TEXT = lambda x: f"md5(array_to_string(list_transform({x}, lambda v: coalesce(C
 
 ORACLE = {
     "attribution": f"""WITH {_A},
-k AS (SELECT DISTINCT trace_id, session_id, branch_id FROM t),
+k AS (SELECT DISTINCT trace_id, session_id, branch_id FROM tt),
 x AS (SELECT trace_id, session_id, branch_id, count(*) AS t, count(*) FILTER (c = 0) AS u, count(*) FILTER (c > 1) AS a FROM f GROUP BY ALL),
 y AS (SELECT trace_id, session_id, branch_id, count(*) AS r, sum(n - 1) AS d FROM m GROUP BY ALL),
-o AS (SELECT trace_id, session_id, branch_id, sum(len(output_ids)) AS made FROM t GROUP BY ALL)
+o AS (SELECT trace_id, session_id, branch_id, sum(len(output_ids)) AS made FROM tt GROUP BY ALL)
 SELECT trace_id, session_id, branch_id, CAST(made AS BIGINT) AS generated, coalesce(t, 0) AS trainable, coalesce(u, 0) AS unmatched, coalesce(a, 0) AS ambiguous, CAST(coalesce(d, 0) AS BIGINT) AS duplicate,
   CAST(made - coalesce(r, 0) AS BIGINT) AS unaccounted, CASE WHEN u > 0 THEN 'UNMATCHED' WHEN a > 0 THEN 'AMBIGUOUS' WHEN coalesce(t, 0) = 0 THEN 'NO_TRAINABLE_TOKENS' ELSE 'MATCHED' END AS status
 FROM k JOIN o USING (trace_id, session_id, branch_id) LEFT JOIN x USING (trace_id, session_id, branch_id) LEFT JOIN y USING (trace_id, session_id, branch_id)""",
     "turn_retention": f"""WITH {_A}
-SELECT t.trace_id, t.session_id, t.branch_id, t.turn_id, len(output_ids) AS generated, coalesce(n, 0) AS represented, len(output_ids) - coalesce(n, 0) AS unaccounted
-FROM t LEFT JOIN (SELECT trace_id, session_id, branch_id, turn_id, count(*) AS n FROM m GROUP BY ALL) USING (trace_id, session_id, branch_id, turn_id)""",
+SELECT tt.trace_id, tt.session_id, tt.branch_id, tt.turn_id, len(output_ids) AS generated, coalesce(n, 0) AS represented, len(output_ids) - coalesce(n, 0) AS unaccounted
+FROM tt LEFT JOIN (SELECT trace_id, session_id, branch_id, turn_id, count(*) AS n FROM m GROUP BY ALL) USING (trace_id, session_id, branch_id, turn_id)""",
     "sample_labels": f"""WITH {_S}, l AS (SELECT index, tokens, list_concat(list_transform(tokens[1:len(tokens) - response_length], lambda v: -100), tokens[len(tokens) - response_length + 1:]) AS y FROM s WHERE response_length BETWEEN 0 AND len(tokens))
 SELECT index, len(tokens) AS n_tokens, len(list_filter(y, lambda v: v <> -100)) AS n_supervised, {_TEXT('y')} AS labels_md5 FROM l""",
     "feature_checks": f"""SELECT * FROM (SELECT DISTINCT feature_id, {_E() % "CASE WHEN len(input_ids) > 2048 THEN 'too_long' END"} AS error FROM features) WHERE error IS NOT NULL""",

@@ -14,12 +14,19 @@ import json
 import re
 from collections.abc import Iterator, MutableMapping
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from turnledger.functions.arrays import valid_tokens
 from turnledger.functions.scalars import ALIAS
 
+#: Characters of tokens that one capture may pass on.
+MAX_WIRE = 64 * 1024 * 1024
+
 # The reasons that capture gaps give.
 CONTEXT_INVALID = "http_context_invalid"
 STREAM_UNSUPPORTED = "http_stream_unsupported"
@@ -33,6 +40,12 @@ RECORD_FAILED = "turn_record_capture_failed"
 ABORTED = "http_owner_aborted"
 SHUTDOWN_TIMEOUT = "http_shutdown_timeout"
 COUNT_MISMATCH = "http_request_count_mismatch"
+DEADLINE = "http_run_deadline_exceeded"
+INTERRUPTED = "http_run_interrupted"
+WIRE_LIMIT = "http_wire_size_limit"
+RESOLVER_FAILED = "context_resolver_failed"
+CONTEXT_MISSING = "turn_context_missing"
+SERVED_MISMATCH = "served_turn_count_mismatch"
 
 EVENTS = (
     "trace_id string, event_no bigint, kind string, request_id string, session_id string, branch_id string, turn_id string, parent_turn_id string, "
@@ -44,7 +57,7 @@ RECORDS = (
 )
 _NAMES = [c.split()[0] for c in RECORDS.split(", ")]
 _ALIAS = re.compile(ALIAS.replace(r"\z", r"\Z"))
-_START = {"received": 0, "succeeded": 0, "failed": 0, "active": 0, "sequence": 0, "generations": 0, "gaps": 0, "accepting": True, "sealed": False, "waiting": None, "chain": ""}
+_START = {"invocations": 0, "wire": 0, "received": 0, "succeeded": 0, "failed": 0, "active": 0, "sequence": 0, "generations": 0, "gaps": 0, "accepting": True, "sealed": False, "waiting": None, "chain": ""}
 
 
 def _none(value):
@@ -58,18 +71,46 @@ def _list(value) -> list[int] | None:
     return None if _none(value) is None else [int(x) for x in value]
 
 
+class Tokens(NamedTuple):
+    """What the machine needs of an event's tokens; the tokens themselves only where they travel with the event."""
+
+    sound: bool
+    digest: str
+    size: int
+    kept: dict
+
+    @classmethod
+    def of(cls, e: dict) -> Tokens:
+        if "sound" in e:
+            return cls(bool(e["sound"]), _none(e["digest"]) or "", int(e["size"]), {})
+        inputs, outputs = _list(e["input_ids"]), _list(e["output_ids"])
+        sound = bool(outputs) and min(outputs) >= 0 and inputs is not None
+        text = ",".join(map(str, inputs or [])) + ";" + ",".join(map(str, outputs or []))
+        return cls(sound, hashlib.sha256(text.encode()).hexdigest(), len(text), {"input_ids": inputs, "output_ids": outputs})
+
+
+def _told(events: DataFrame) -> DataFrame:
+    """Events with what Tokens.of finds, in place of their tokens. An event with a null among its tokens is not sound."""
+    text = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
+    whole = F.concat(text("input_ids"), F.lit(";"), text("output_ids"))
+    sound = F.col("input_ids").isNotNull() & ~F.exists(F.coalesce("input_ids", F.array().cast("array<bigint>")), lambda x: x.isNull()) & valid_tokens(F.col("output_ids")) & (F.size("output_ids") > 0)
+    told = {"sound": F.coalesce(sound, F.lit(False)), "digest": F.sha2(whole, 256), "size": F.length(whole)}
+    return events.withColumns(told).drop("input_ids", "output_ids")
+
+
 class Admission:
     """The machine of one trace. counters: a dict that survives; turns: a mapping of turn or request keys to JSON text."""
 
-    def __init__(self, trace_id: str, counters: dict, turns: MutableMapping[str, str], limit: int | None = None):
-        self.trace_id, self.c, self.turns, self.limit = trace_id, counters, turns, limit
+    def __init__(self, trace_id: str, counters: dict, turns: MutableMapping[str, str], limit: int | None = None, wire_limit: int = MAX_WIRE):
+        self.trace_id, self.c, self.turns, self.limit, self.wire_limit = trace_id, counters, turns, limit, wire_limit
         self.rows: list[dict] = []
 
-    def _write(self, event_no: int, record_type: str, **fields) -> None:
+    def _write(self, event_no: int, record_type: str, tokens: Tokens | None = None, **fields) -> None:
         row = {"trace_id": self.trace_id, "event_no": event_no, "sequence": self.c["sequence"], "record_type": record_type, **fields}
         self.c["sequence"] += 1
-        self.c["chain"] = hashlib.sha256((self.c["chain"] + json.dumps(row, sort_keys=True)).encode()).hexdigest()
-        self.rows.append(row | {"chain_sha256": self.c["chain"]})
+        link = self.c["chain"] + json.dumps(row, sort_keys=True) + (tokens.digest if tokens else "")
+        self.c["chain"] = hashlib.sha256(link.encode()).hexdigest()
+        self.rows.append(row | {"chain_sha256": self.c["chain"]} | (tokens.kept if tokens else {}))
 
     def _gap(self, event_no: int, reason: str, reply: int | None = None) -> None:
         self.c["failed"] += 1
@@ -134,19 +175,58 @@ class Admission:
             self._gap(number, UNSUCCESSFUL, int(status))
         else:
             c["succeeded"] += 1
-            outputs = _list(e["output_ids"])
-            if not outputs or min(outputs) < 0 or _list(e["input_ids"]) is None:
+            tokens = Tokens.of(e)
+            c["wire"] += tokens.size
+            if c["wire"] > self.wire_limit:
+                c["accepting"] = False
+                self._gap(number, WIRE_LIMIT, 502)
+            elif not tokens.sound:
                 self._gap(number, RECORD_FAILED, int(status))
             elif (_none(e["calls"]), _none(e["captured"])) != (1, 1):
                 self._gap(number, COVERAGE_MISMATCH, int(status))
             else:
-                c["generations"] += 1
-                self._write(number, "generation", reply=int(status), session_id=names[0], branch_id=names[1], turn_id=names[2], parent_turn_id=parent, input_ids=_list(e["input_ids"]), output_ids=outputs)
-                self.turns[json.dumps(["turn", *names])] = "completed"
+                self._generation(number, names, parent, tokens, int(status))
+
+    def _generation(self, number: int, names: list[str], parent: str | None, tokens: Tokens, reply: int | None = None) -> None:
+        self.c["generations"] += 1
+        own = dict(zip(("session_id", "branch_id", "turn_id"), names, strict=True))
+        self._write(number, "generation", tokens, reply=reply, **own, parent_turn_id=parent)
+        self.turns[json.dumps(["turn", *names])] = "completed"
+
+    def _callback(self, number: int, e: dict) -> None:
+        """A turn that an adapter's callback hands over: its context may be one that could not be resolved (then reason says
+        why) or may be missing, and the turn one that cannot be recorded."""
+        self.c["invocations"] += 1
+        names = [_none(e[k]) for k in ("session_id", "branch_id", "turn_id")]
+        tokens = Tokens.of(e)
+        if _none(e["reason"]):
+            self._gap(number, RESOLVER_FAILED)
+        elif names == [None] * 3:
+            self._gap(number, CONTEXT_MISSING)
+        elif not all(names) or not tokens.sound or json.dumps(["turn", *names]) in self.turns:
+            self._gap(number, RECORD_FAILED)
+        else:
+            self.c["succeeded"] += 1
+            self._generation(number, names, _none(e["parent_turn_id"]), tokens)
 
-    def _abort(self, number: int, e: dict) -> None:
+    def _health(self, number: int, e: dict) -> None:
+        """The owner's count of served turns against the callbacks; then as finish, without a count of requests."""
+        if self.c["invocations"] != _none(e["expected"]):
+            self._gap(number, SERVED_MISMATCH)
+        self.c["accepting"], self.c["waiting"] = False, -1
+
+    def _stopped(self, number: int, reason: str) -> None:
         self.c["accepting"] = False
-        self._gap(number, _none(e["reason"]) or ABORTED)
+        self._gap(number, reason)
+
+    def _abort(self, number: int, e: dict) -> None:
+        self._stopped(number, _none(e["reason"]) or ABORTED)
+
+    def _deadline(self, number: int, e: dict) -> None:
+        self._stopped(number, DEADLINE)
+
+    def _interrupt(self, number: int, e: dict) -> None:
+        self._stopped(number, INTERRUPTED)
 
     def _finish(self, number: int, e: dict) -> None:
         """Stops admission; the seal waits until nothing is active."""
@@ -242,13 +322,18 @@ def admitted(events: DataFrame, *, limit: int | None = None, drain_ms: int | Non
     return events.groupBy("trace_id").transformWithStateInPandas(AdmissionProcessor(limit, drain_ms), RECORDS, "Append", "ProcessingTime" if drain_ms is not None else "None")
 
 
-def replayed(events: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """The same over a table. A trace is one sequential machine and so one task; its rows pass through one by one."""
+def replayed(events: DataFrame, *, limit: int | None = None, wire_limit: int = MAX_WIRE) -> DataFrame:
+    """The same over a table. A trace is one sequential machine and so one task; its rows pass through one by one, without
+    their tokens, which join the recorded turns afterwards."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        machine = Admission(rows["trace_id"].iloc[0], dict(_START), {}, limit)
+        machine = Admission(rows["trace_id"].iloc[0], dict(_START), {}, limit, wire_limit)
         for e in rows.sort_values("event_no", kind="stable").to_dict("records"):
             machine.handle(e)
         return _frame(machine.rows)
 
-    return events.groupBy("trace_id").applyInPandas(run, RECORDS)
+    made = _told(events).groupBy("trace_id").applyInPandas(run, RECORDS).drop("input_ids", "output_ids")
+    tokens = events.where(F.col("output_ids").isNotNull()).select("trace_id", "event_no", "input_ids", "output_ids").dropDuplicates(["trace_id", "event_no"])
+    r, t = made.alias("r"), tokens.alias("t")
+    on = F.col("r.trace_id").eqNullSafe(F.col("t.trace_id")) & (F.col("r.event_no") == F.col("t.event_no")) & (F.col("r.record_type") == "generation")
+    return r.join(t, on, "left").select(*(F.col(f"{'t' if c in ('input_ids', 'output_ids') else 'r'}.{c}") for c in _NAMES))
