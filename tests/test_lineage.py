@@ -75,3 +75,19 @@ def test_hierarchy_of_one_long_chain_and_of_nothing(spark):
         got = hierarchies(spark.createDataFrame(chain, SCHEMA), scope=["s"], node="id", parent="up", order="n", max_group_rows=most)
         assert sorted((r["id"], r["depth"], r["root_id"]) for r in got.collect()) == [(f"{i:05}", i, "00000") for i in range(600)]
     assert hierarchies(spark.createDataFrame([], SCHEMA), scope=["s"], node="id", parent="up", lists=True).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_lists_come_out_piece_by_piece(most):
+    import numpy as np
+
+    from turnledger.operators import hierarchy as H
+
+    rng = random.Random(most)
+    rows = [(0, f"n{i}", f"n{rng.randrange(i)}" if i and rng.random() < 0.9 else None, 0, None, "") for i in range(200)] + [(0, "x", "y", 0, None, ""), (0, "y", "x", 0, None, ""), (0, "z", "y", 0, None, "")]
+    node, parent = (np.array([r[k] for r in rows], dtype=object) for k in (1, 2))
+    found = H.peel(np.zeros(len(rows), np.int64), node, parent)
+    pieces = list(H._lists(found, node, most))
+    assert [i for s, *_ in pieces for i in range(s.start, s.stop)] == list(range(len(rows))) and len(pieces) > 1 or most > 10**5
+    got = {r[1]: (p, b) for r, p, b in zip(rows, [p for _, a, _ in pieces for p in a.to_pylist()], [b for *_, a in pieces for b in a.to_pylist()], strict=True)}
+    assert got == {k[1]: v[2:] for k, v in brute(rows).items()}

@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 
 from turnledger.session import written
 
-#: Nodes of one group that one task may hold (about 200 bytes each while it is resolved).
+#: Nodes of one group that one task may hold (about 200 bytes each while it is resolved; lists come out piece by piece).
 MAX_GROUP_ROWS = 400_000
 _CHUNK = 150_000
+#: Entries of paths and descendants that are held at a time.
+_ENTRIES = 2_000_000
 
 
 def first_parents(df: DataFrame, *, scope: Sequence[str], node: str, parent: str, order: str | None) -> DataFrame:
@@ -90,27 +92,65 @@ def peel(group: np.ndarray, node: np.ndarray, parent: np.ndarray) -> dict[str, n
     return {"up": up, "order": order, "cyclic": cyclic, "depth": depth, "root": root, "size": size}
 
 
-def _lists(found: dict, node: np.ndarray) -> tuple[list, list]:
-    """Paths from the root and descendants (in byte order); None for nodes that never reach a root."""
-    up, depth = found["up"], found["depth"]
-    below: list[list] = [[] for _ in node]
-    paths: list = [None] * len(node)
-    for level in found["order"]:
-        for i in level:
-            if depth[i] >= 0 and up[i] >= 0:
-                below[up[i]].append(node[i])
-                below[up[i]].extend(below[i])
-    for level in reversed(found["order"]):
-        for i in level:
-            if depth[i] >= 0:
-                paths[i] = [node[i]] if up[i] < 0 else [*paths[up[i]], node[i]]
-    return paths, [sorted(b) if d >= 0 else None for b, d in zip(below, depth, strict=True)]
+def _enter(found: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers such that the descendants of node i are those numbered enter[i] + 1 to enter[i] + size[i] - 1, and the nodes in
+    that order. Nodes that reach no root come last, without an order."""
+    up, depth, size = found["up"], found["depth"], found["size"]
+    by_depth = np.lexsort((up, depth))
+    by_depth = by_depth[np.searchsorted(depth[by_depth], 0) :]
+    levels = np.searchsorted(depth[by_depth], np.arange(depth.max(initial=-1) + 2))
+    enter = np.full(len(up), len(up), dtype=np.int64)
+    for k, (a, b) in enumerate(zip(levels[:-1], levels[1:], strict=True)):
+        level = by_depth[a:b]
+        before = np.cumsum(size[level]) - size[level]
+        if k == 0:
+            enter[level] = before
+            continue
+        first = np.flatnonzero(np.append(True, up[level][1:] != up[level][:-1]))
+        start = np.repeat(before[first], np.diff(np.append(first, len(level))))
+        enter[level] = enter[up[level]] + 1 + before - start
+    return enter, np.argsort(enter, kind="stable")
+
+
+def _lists(found: dict, node: np.ndarray, most: int) -> Iterator[tuple[slice, pa.Array, pa.Array]]:
+    """Paths from the root and descendants in byte order, null for nodes that never reach a root, a slice of nodes at a time
+    whose lists have ``most`` entries together, or one node: a deep tree has far more entries than nodes."""
+    up, depth, size = found["up"], found["depth"], found["size"]
+    enter, order = _enter(found)
+    codes, names = pd.factorize(node)
+    by_name = np.argsort(names, kind="stable")
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[by_name] = np.arange(len(names))
+    rank, names = rank[codes], pa.array(names[by_name], pa.string())
+    good = depth >= 0
+    n_path, n_below = np.where(good, depth + 1, 0).astype(np.int64), np.where(good, size - 1, 0)
+    total = np.cumsum(n_path + n_below)
+    low = 0
+
+    def lists(counts: np.ndarray, values: np.ndarray, rows: slice) -> pa.Array:
+        cuts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), names.take(pa.array(values)), mask=pa.array(~good[rows]))
+
+    while low < len(node):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        rows = slice(low, high)
+        ends = np.cumsum(n_path[rows])
+        path = np.zeros(ends[-1], dtype=np.int64)
+        at, who = ends - 1, np.arange(low, high)
+        at, who = at[good[rows]], who[good[rows]]
+        while len(who):
+            path[at] = rank[who]
+            on = up[who] >= 0
+            at, who = at[on] - 1, up[who[on]]
+        below = [np.sort(rank[order[enter[i] + 1 : enter[i] + size[i]]]) for i in range(low, high) if n_below[i]]
+        yield rows, lists(n_path[rows], path, rows), lists(n_below[rows], np.concatenate([np.zeros(0, np.int64), *below]), rows)
+        low = high
 
 
 def _resolver(n_scope: int, lists: bool):
     """mapInArrow function over rows of (scope..., node, parent) that are sorted by scope."""
 
-    def resolve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def resolve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         frame = [rows.column(i).combine_chunks() for i in range(n_scope)]
         group = np.zeros(rows.num_rows, dtype=np.int64)
@@ -121,11 +161,13 @@ def _resolver(n_scope: int, lists: bool):
         node = rows.column(n_scope).to_numpy()
         found = peel(group, node, rows.column(n_scope + 1).to_numpy())
         out = [*frame, rows.column(n_scope).combine_chunks(), pa.array(node[found["root"]], pa.string()), pa.array(found["depth"], pa.int32())]
-        if lists:
-            paths, below = _lists(found, node)
-            text = pa.list_(pa.string())
-            out += [pa.array(paths, text), pa.array(below, text)]
-        return pa.RecordBatch.from_arrays(out, [f"c{i}" for i in range(len(out))])
+        whole = pa.RecordBatch.from_arrays(out, [f"c{i}" for i in range(len(out))])
+        if not lists:
+            yield whole
+            return
+        for rows, paths, below in _lists(found, node, _ENTRIES):
+            part = whole.slice(rows.start, rows.stop - rows.start)
+            yield pa.RecordBatch.from_arrays([*part.columns, paths, below], [*part.schema.names, "path", "below"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -145,11 +187,11 @@ def _resolver(n_scope: int, lists: bool):
                 last[1:] |= code[1:] != code[:-1]
             cut = int(np.flatnonzero(last)[-1]) if last.any() else 0
             if cut:
-                yield resolve(table.slice(0, cut).to_batches())
+                yield from resolve(table.slice(0, cut).to_batches())
                 held = table.slice(cut).to_batches()
                 count -= cut
         if count:
-            yield resolve(held)
+            yield from resolve(held)
 
     return run
 
@@ -171,31 +213,31 @@ def _doubled(nodes: DataFrame, scope: list[str], node: str, parent: str, lists:
         (F.when(found.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(f"a.{node}"))) if lists else F.lit(None).cast("array<string>")).alias("way"),
     )
     state = written(state, "hierarchy")
-    reach = 1
-    while True:
-        more = state.where(~F.col("ended")).limit(1).count()
-        if not more or reach > 2 * most:
-            break
-        x, y = state.alias("a"), state.alias("b")
-        state = written(
+    # nodes that have arrived are looked up, but never sent on their way again: they all stand at few roots
+    arrived, state, reach = state.where("ended"), state.where(~F.col("ended")), 1
+    while reach <= 2 * most and not state.isEmpty():
+        x, y = state.alias("a"), state.unionByName(arrived).alias("b")
+        on_root = F.col("b.ended") & (F.col("b.up") == F.col("b.id"))
+        moved = written(
             x.join(y, here & (F.col("a.up") == F.col("b.id")), "inner").select(
                 *(F.col(f"a.{c}").alias(c) for c in scope),
                 F.col("a.id").alias("id"),
                 F.col("b.up").alias("up"),
-                (F.when(F.col("a.up") == F.col("a.id"), 0).otherwise(F.col("a.steps")) + F.when(F.col("b.ended") & (F.col("b.up") == F.col("b.id")), 0).otherwise(F.col("b.steps"))).cast("bigint").alias("steps"),
-                (F.col("a.ended") | F.col("b.ended")).alias("ended"),
+                (F.col("a.steps") + F.when(on_root, 0).otherwise(F.col("b.steps"))).cast("int").alias("steps"),
+                F.col("b.ended").alias("ended"),
                 F.least("a.least", "b.least").alias("least"),
-                (F.when(F.col("a.ended"), F.col("a.way")).when(F.col("b.ended"), F.concat("a.way", "b.way")).otherwise(F.concat("a.way", "b.way")) if lists else F.lit(None).cast("array<string>")).alias("way"),
+                (F.concat("a.way", "b.way") if lists else F.lit(None).cast("array<string>")).alias("way"),
             ),
             "hierarchy",
         )
+        arrived, state = arrived.unionByName(moved.where("ended")), moved.where(~F.col("ended"))
         reach *= 2
     # those still under way stand on a cycle after more steps than there are nodes; its least name is the least seen there
-    x, y = state.where(~F.col("ended")).alias("a"), state.alias("b")
+    x, y = state.alias("a"), state.alias("b")
     looping = x.join(y, here & (F.col("a.up") == F.col("b.id")), "inner").select(
         *(F.col(f"a.{c}").alias(c) for c in scope), F.col("a.id").alias(node), F.col("b.least").alias(f"root_{node}"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path")
     )
-    ended = state.where("ended").select(
+    ended = arrived.select(
         *scope, F.col("id").alias(node), F.col("up").alias(f"root_{node}"), F.col("steps").cast("int").alias("depth"),
         F.when(F.size("way") == 0, F.array("id")).otherwise(F.reverse(F.concat("way", F.array("up")))).alias("path"),
     )
