@@ -165,3 +165,29 @@ def test_stretches_lie_within_their_island_at_borders_of_runs(cases, restorer):
                 assert (low == a or text[low - 1].isascii()) and (high == b or text[high].isascii())
                 at = high
             assert stretches
+
+
+def test_nothing_within_a_sentence_without_the_segments(cases, restorer, monkeypatch):
+    """The bounds of the maximum-scoring segments decide where mappings are tried."""
+    words = "Кто знает, зачем Проверка отбрасывает историю сессии Награда посчитана дважды ещё ответ".split(" ")
+    text = " ".join([*words[:3], READINGS["koi8-r<cp1251"][1](" ".join(words[3:6])), *words[6:]])
+    assert restorer.restore(text)[0] == " ".join(words)
+    monkeypatch.setattr(M, "best_segments", lambda scores: [(0, len(scores))])
+    restorer.tried.clear()
+    assert restorer.restore(text)[0] != " ".join(words)
+    monkeypatch.setattr(M, "best_segments", lambda scores: [])
+    assert all(restorer.restore(t)[1] == [] for t in cases[0])
+
+
+def test_thorough_finds_and_restores_the_same(cases, restorer):
+    thorough = M.Restorer(restorer.model, thorough=True)
+    for text in cases[0][::5]:
+        assert thorough.restore(text)[0] == restorer.restore(text)[0]
+
+
+def test_noise_of_a_full_sketch_hides_nothing(cases, restorer):
+    """Four times the pairs of the whole corpus, smeared over all buckets."""
+    noise = 4 * restorer.model.sketch.sum() / 2 / (1 << M.SKETCH_BITS)
+    noisy = M.Restorer(M.PairModel(restorer.model.sketch + np.float32(noise), restorer.model.documents))
+    for text in cases[0][::5]:
+        assert bool(noisy.restore(text)[1]) == bool(restorer.restore(text)[1])

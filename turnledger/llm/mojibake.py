@@ -13,7 +13,8 @@ garbled throughout: a second count leaves out the runs that are well-formed UTF-
 mapping may be judged by that one alone, if each stretch by itself then gains enough.
 
 The pair counts go into tables of fixed size (count-min sketches of two rows), so what the tasks get does not grow
-with the corpus.
+with the corpus. Nor does their noise: what all other pairs leave in a bucket is the pairs a text has, over the buckets,
+as a share of the texts, whatever their number; at 500 such pairs a text an unseen pair still has 12 bits.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ GAIN_SINGLE, LOSS = 24.0, 4.0
 ELSEWHERE = 0.25
 #: Times that text may have been read wrongly one after the other.
 ROUNDS = 4
-#: Share of a segment's bits that a UTF-8 mapping must gain to be the only explanation tried.
+#: Share of a segment's bits that a UTF-8 mapping must gain to be the only explanation tried, unless asked to be thorough.
 ENOUGH = 0.5
 #: Bits of a pair with U+FFFD, whatever the corpus: nothing is gained by losing characters.
 GONE = 24.0
@@ -325,8 +326,8 @@ def other_mappings(segment: str) -> Iterator[tuple[tuple[str, str], str]]:
 class Restorer:
     """Finds and undoes wrong readings under a pair model."""
 
-    def __init__(self, model: PairModel):
-        self.model = model
+    def __init__(self, model: PairModel, thorough: bool = False):
+        self.model, self.enough = model, math.inf if thorough else ENOUGH
         self.typical = min(TYPICAL, 0.5 * float(np.log2(model.documents + 1)))
         self.tried: dict[str, list] = {}
 
@@ -345,9 +346,6 @@ class Restorer:
             if k == len(rare) or rare[k] >= b:
                 continue
             runs = [x.span() for x in _BEYOND.finditer(text, a, b - 1)]
-            if len(runs) == 1:
-                out.append((m.span(), [m.span()]))
-                continue
             stretches: list[tuple[int, int]] = []
             for i, j in best_segments(scores[a:b].tolist()):
                 # pair i joins the characters before and at i: those whose pairs are all improbable, or a border's run
@@ -357,7 +355,8 @@ class Restorer:
                     stretches[-1] = stretches[-1][0], max(stretches[-1][1], touched[-1][1])
                 else:
                     stretches.append((touched[0][0], touched[-1][1]))
-            out.append((m.span(), stretches))
+            if stretches:
+                out.append((m.span(), stretches))
         return out
 
     def _gains(self, before: str, segment: str, after: str) -> tuple[list, dict]:
@@ -379,7 +378,7 @@ class Restorer:
             # what is well-formed UTF-8 nearly throughout needs no other explanation; spaces of any kind say nothing about
             # other encodings, and a symbol that stands by itself only something about one in which it is a symbol too
             rare = other is self.model or any(x > self.typical for x in self.model.costs(key))
-            if rare and segment.strip() and max((g for _, g, _ in got), default=0.0) < ENOUGH * base:
+            if rare and segment.strip() and max((g for _, g, _ in got), default=0.0) < self.enough * max(base, 1e-9):
                 alone = before in _GAP and after in _GAP and all(c in _GAP or unicodedata.category(c)[0] in "SZC" for c in segment)
                 for pair, new in other_mappings(segment):
                     if not alone or all(c < "\x80" or unicodedata.category(c)[0] in "SN" for c in new):
@@ -498,14 +497,14 @@ def pair_model(texts: DataFrame, text: str) -> PairModel:
     return PairModel(sketch[: 2 << SKETCH_BITS], documents, PairModel(sketch[2 << SKETCH_BITS :], documents))
 
 
-def garbled_texts(df: DataFrame, *, key: str, text: str) -> DataFrame:
+def garbled_texts(df: DataFrame, *, key: str, text: str, thorough: bool = False) -> DataFrame:
     """key, restored, readings, gain and lossy of the rows whose text was read in a wrong encoding, wholly or in places.
 
     restored is the text with all readings undone that could be; readings names them in the order of undoing ("as X, in
     fact Y"; empty if none could); gain is the evidence in bits; lossy marks characters that are gone (U+FFFD). Null and
     empty texts are never affected; repeated rows each come out; a text of any length is read whole. The statistics
     need a corpus: the fewer the texts, the less is taken for improbable, and under some dozens nothing is. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. thorough: other encodings are tried even where UTF-8 explains enough.
     """
     spark = df.sparkSession
     rows = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -516,7 +515,7 @@ def garbled_texts(df: DataFrame, *, key: str, text: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = Restorer(shared.value, thorough)
         for batch in batches:
             at, new, readings, gains, lossy = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
