@@ -1,9 +1,10 @@
 """Long exact spans that records of different owners share.
 
-Every run of ``span`` tokens gets the least hash of the token q-grams in it as its signature. Neighbouring runs mostly
-have the same one: they form a compact window, a node of the Cartesian tree over the q-gram hashes whose subtree is at
-least one run wide. Equal runs lie in windows of equal signature, so a pass over all records that sends one row per
-window finds the signatures met with two owners. Where those stand, records are cut to the stretches around them, and
+Under each of several hash functions every run of ``span`` tokens has a least hash of the token q-grams in it. Neighbouring
+runs mostly have the same one: they form a compact window, a node of the Cartesian tree over the q-gram hashes whose
+subtree is at least one run wide. The windows of all functions are laid over one another (an interval join within the
+record), and each piece has the least hashes of all of them as its signature. Equal runs lie in pieces of equal
+signature, so a pass over all records that sends one row per piece finds the signatures met with two owners. Where those stand, records are cut to the stretches around them, and
 only the runs of these stretches are compared, by two independent hashes of all their tokens (128 bits). Windows and
 runs are grouped, never paired.
 
@@ -26,7 +27,9 @@ from turnledger.session import written
 
 SPAN = 32
 #: Independent hash functions that make up a signature: more hashes, fewer accidental meetings, more windows.
-HASHES = 1
+HASHES = 3
+#: Parts into which the rows of one signature or run are split where these are joined.
+SALTS = 16
 #: Shared signatures (8 bytes) or runs (16 bytes) up to which every task gets them all; beyond, they are joined.
 SENT = 2_000_000
 
@@ -266,10 +269,17 @@ def shared_spans(df: DataFrame, *, ids: Sequence[str], owner: str, arrays: Seque
         both = spark.sparkContext.broadcast((np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])))
         return parts.mapInArrow(_renamed(_marked(span, n, both), shape.names), shape).distinct()
     shape = whole(("at", int_), ("run", long), ("check", long))
-    at = parts.mapInArrow(_renamed(_run_rows(span, n), shape.names), shape).join(runs, ["run", "check"], "left_semi")
+    at = _met(parts.mapInArrow(_renamed(_run_rows(span, n), shape.names), shape), runs, ["run", "check"], [*ids, "at"])
     return _spans_of(at.groupBy(*ids, "array_name").agg(F.sort_array(F.collect_set("at")).alias("at")), ids, span)
 
 
+def _met(rows: DataFrame, keys: DataFrame, on: list[str], by: Sequence[str]) -> DataFrame:
+    """Rows whose key is among the keys (each there once). What a third of all records share is one key with a third of the
+    rows, so every key's rows are split by a hash of ``by``, and the keys repeated for each part."""
+    parts = keys.select(*on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
+    return rows.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(parts, [*on, "__part"], "left_semi").drop("__part")
+
+
 def _spans_of(df: DataFrame, ids: Sequence[str], span: int) -> DataFrame:
     """(ids, array_name, at: ascending starts of runs) to maximal stretches."""
     new = F.filter("at", lambda x, i: (i == 0) | (x > F.get("at", i - 1) + span))
@@ -281,7 +291,7 @@ def _spans_of(df: DataFrame, ids: Sequence[str], span: int) -> DataFrame:
 
 def _cut_by_join(rows: DataFrame, met: DataFrame, ids: Sequence[str], arrays: Sequence[str], span: int, hashes: int, shape: T.StructType) -> DataFrame:
     """The stretches around shared signatures when there are too many signatures to send."""
-    windows = rows.mapInArrow(_window_rows(span, hashes, arrays, ids), shape).join(met, "mark", "left_semi")
+    windows = _met(rows.mapInArrow(_window_rows(span, hashes, arrays, ids), shape), met, ["mark"], [*ids, "low"])
     at = windows.select(*ids, "array_name", F.explode(F.sequence("low", "high")).alias("at"))
     pieces = _spans_of(at.groupBy(*ids, "array_name").agg(F.sort_array(F.collect_set("at")).alias("at")), ids, span)
     one = rows.select(*ids, "__owner", F.explode(F.array(*(F.struct(F.lit(a).alias("n"), F.col(a).alias("v")) for a in arrays))).alias("z")).select(
