@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.crosssplit import coverage, cross_split_counts, cross_split_pairs, prompts_of
@@ -23,15 +23,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Per record and array with a shared stretch: tokens, shared tokens and stretches."""
-    lengths = _generations(spark, folder).select(
-        "trace_id", "sequence", F.explode(F.array(*(F.struct(F.lit(c).alias("array_name"), F.size(c).alias("n_tokens")) for c in ("input_ids", "output_ids")))).alias("z")
-    )
-    lengths = lengths.select("trace_id", "sequence", "z.array_name", "z.n_tokens").distinct()
+    """Per record and array: tokens, shared tokens and stretches, and the share; 0 where nothing is shared, null for the
+    share of an empty array. Arrays that are null have no row."""
+    sizes = F.array(*(F.struct(F.lit(c).alias("array_name"), F.size(c).alias("n_tokens")) for c in ("input_ids", "output_ids")))
+    rows = _generations(spark, folder).select("trace_id", "sequence", F.explode(sizes).alias("z")).select("trace_id", "sequence", "z.array_name", "z.n_tokens")
+    lengths = rows.where(F.col("n_tokens") >= 0).groupBy("trace_id", "sequence", "array_name").agg(F.max("n_tokens").alias("n_tokens"))
     found = p2_found(spark, folder).groupBy("trace_id", "sequence", "array_name").agg(
-        F.sum(F.col("span_end") - F.col("span_start")).alias("shared_tokens"), F.count("*").alias("n_spans")
+        F.sum(F.col("span_end") - F.col("span_start")).alias("shared"), F.count("*").alias("n")
     )
-    return lengths.join(found, ["trace_id", "sequence", "array_name"]).withColumn("share", F.col("shared_tokens") / F.col("n_tokens"))
+    on = F.lit(True)
+    for c in ("trace_id", "sequence", "array_name"):
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return lengths.alias("a").join(found.alias("b"), on, "left").select(
+        "a.trace_id", "a.sequence", "a.array_name", "n_tokens", none("b.shared").alias("shared_tokens"), none("b.n").alias("n_spans"),
+        F.when(F.col("n_tokens") > 0, none("b.shared") / F.col("n_tokens")).alias("share"),
+    )
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +64,23 @@ def p3_fill(spark: SparkSession, folder: str) -> DataFrame:
     return by_run.join(width, "run_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per run what must hold of any packing: all pieces and tokens are there, none overlap or reach beyond the width, none is
+    cut that fits, no container number is left out."""
+    width = _items(spark, folder).select(F.col("group").alias("run_id"), F.col("item").alias("feature_id"), "size", "capacity")
+    placed = p3_containers(spark, folder).join(width, ["run_id", "feature_id"])
+    # a container is bounded by its width
+    before = F.lag(F.col("offset") + F.col("piece_length")).over(Window.partitionBy("run_id", "container").orderBy("offset"))
+    rows = placed.withColumn("before", before)
+    bad = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    by_container = rows.groupBy("run_id", "container").agg(
+        F.count("*").alias("n"), F.sum("piece_length").alias("tokens"), bad(F.col("offset") < F.col("before")).alias("overlaps"), bad(F.col("offset") + F.col("piece_length") > F.col("capacity")).alias("beyond"),
+        bad((F.col("size") <= F.col("capacity")) & (F.col("piece_length") < F.col("size"))).alias("cuts"), bad(F.col("piece_start") == 0).alias("features"),
+    )
+    total = {"n_pieces": "n", "n_tokens": "tokens", "n_features": "features", "n_overlaps": "overlaps", "n_beyond": "beyond", "n_needless_cuts": "cuts"}
+    return by_container.groupBy("run_id").agg(*(F.sum(c).alias(n) for n, c in total.items()), (F.max("container") + 1 - F.count("*")).alias("n_missing_containers"))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces that must be placed, per run: their number, tokens and longest."""
     return pieces_of(_items(spark, folder)).groupBy(F.col("group").alias("run_id")).agg(
@@ -118,7 +142,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled_texts(table(spark, folder, "documents"), key="doc_id", text="text").withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_containers": p3_containers, "p3_fill": p3_fill, "p3_pieces": p3_pieces, "p3_buckets": p3_buckets, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_containers": p3_containers, "p3_fill": p3_fill, "p3_checks": p3_checks, "p3_pieces": p3_pieces, "p3_buckets": p3_buckets, "p5_found": p5_found, "p5_counts": p5_counts, "p5_coverage": p5_coverage, "p6_ids": p6_ids, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _SPANS = """
 g AS (SELECT DISTINCT trace_id, sequence, session_id, input_ids, output_ids FROM trace WHERE record_type = 'generation'),
@@ -145,10 +169,16 @@ m AS (SELECT DISTINCT h.index AS held, h.split, h.source, t.index AS train
 
 ORACLE = {
     "p2_found": f"WITH {_SPANS} SELECT * FROM f",
-    "p2_shares": f"""WITH {_SPANS}
-SELECT f.trace_id, f.sequence, f.array_name, any_value(len(a.v)) AS n_tokens, CAST(sum(span_end - span_start) AS BIGINT) AS shared_tokens, count(*) AS n_spans,
-  sum(span_end - span_start) / any_value(len(a.v)) AS share
-FROM f JOIN a ON a.trace_id = f.trace_id AND a.sequence = f.sequence AND a.array_name = f.array_name GROUP BY ALL""",
+    "p2_shares": f"""WITH {_SPANS},
+n AS (SELECT trace_id, sequence, array_name, max(len(v)) AS n_tokens FROM a WHERE v IS NOT NULL GROUP BY ALL),
+w AS (SELECT trace_id, sequence, array_name, CAST(sum(span_end - span_start) AS BIGINT) AS shared, count(*) AS n FROM f GROUP BY ALL)
+SELECT n.trace_id, n.sequence, n.array_name, n_tokens, coalesce(shared, 0) AS shared_tokens, coalesce(w.n, 0) AS n_spans, CASE WHEN n_tokens > 0 THEN coalesce(shared, 0) / n_tokens END AS share
+FROM n LEFT JOIN w ON w.trace_id IS NOT DISTINCT FROM n.trace_id AND w.sequence IS NOT DISTINCT FROM n.sequence AND w.array_name = n.array_name""",
+    "p3_checks": """
+WITH f AS (SELECT feature_id, min(struct_pack(r := run_id, n := len(input_ids))) AS f FROM features WHERE len(input_ids) > 0 AND len(labels) = len(input_ids) GROUP BY feature_id),
+w AS (SELECT run_id, max(width) AS w FROM run_result GROUP BY run_id HAVING max(width) > 0)
+SELECT run_id, CAST(sum(ceil(f.n / w)) AS BIGINT) AS n_pieces, CAST(sum(f.n) AS BIGINT) AS n_tokens, count(*) AS n_features, 0 AS n_overlaps, 0 AS n_beyond, 0 AS n_needless_cuts, 0 AS n_missing_containers
+FROM f JOIN w ON f.r = w.run_id GROUP BY run_id""",
     "p3_pieces": """
 WITH f AS (SELECT feature_id, min(struct_pack(r := run_id, n := len(input_ids))) AS f FROM features WHERE len(input_ids) > 0 AND len(labels) = len(input_ids) GROUP BY feature_id),
 w AS (SELECT run_id, max(width) AS w FROM run_result GROUP BY run_id HAVING max(width) > 0)
