@@ -24,14 +24,21 @@ def feature_error(input_ids: Column, labels: Column, max_length: Column | None =
     return rule if max_length is None else rule.when(F.size(input_ids) > max_length, "too_long")
 
 
+def with_widths(sizes: DataFrame, *, batch: list[str], size: str = "size") -> DataFrame:
+    """Rows without tokens (batch, size, and what names a feature) with width, the greatest size of their batch, which a
+    batch's own bound keeps small."""
+    return sizes.withColumn("width", F.max(size).over(Window.partitionBy(*batch)))
+
+
 def pad_batches(features: DataFrame, *, batch: list[str], pad: Column) -> DataFrame:
     """features (input_ids, labels) with width, attention_mask and both arrays right-padded to the longest of the batch.
 
-    A batch is bounded by its size, so one shuffle by batch gives its width. Padding is not supervised; a real end token
-    keeps its label even if it equals the pad token.
+    Rows that have their width already (with_widths, before the tokens joined) stay where they are; else one shuffle by
+    batch gives it. Padding is not supervised; a real end token keeps its label even if it equals the pad token.
     """
-    joined = features.withColumn("width", F.max(F.size("input_ids")).over(Window.partitionBy(*batch)))
-    width, size = F.col("width"), F.size("input_ids")
+    size = F.size("input_ids")
+    joined = features if "width" in features.columns else with_widths(features.withColumn("__size", size), batch=batch, size="__size").drop("__size")
+    width = F.col("width")
     return joined.withColumns(
         {
             "attention_mask": F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), width - size)),

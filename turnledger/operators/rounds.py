@@ -96,8 +96,10 @@ def handoff_violations(rollout: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def leaked_prompts(samples: DataFrame, *, held_out: Sequence[str], train: str = "train") -> DataFrame:
-    """index and split of held-out samples whose whole prompt is also a training prompt."""
-    prompts = samples.select("index", "split", prompt_of(F.col("tokens"), F.col("response_length")).alias("prompt")).where(F.size("prompt") > 0)
+    """index and split of held-out samples whose whole prompt is also a training prompt. Prompts meet by their SHA-256."""
+    prompt = prompt_of(F.col("tokens"), F.col("response_length"))
+    digest = F.sha2(F.array_join(prompt.cast("array<string>"), ",", "-"), 256)
+    prompts = samples.where(F.size(prompt) > 0).select("index", "split", digest.alias("prompt"))
     known = prompts.where(F.col("split") == train).select("prompt").distinct()
     return prompts.where(F.col("split").isin(*held_out)).join(known, "prompt", "left_semi").select("index", "split").distinct()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnledger.functions.arrays import IGNORED, count_where, history, joined, labels_of, prompt_of
 from turnledger.functions.scalars import answer_score, float32
 from turnledger.operators.attribution import attribution_totals, retention
-from turnledger.operators.batches import audit_batches, feature_error, pad_batches
+from turnledger.operators.batches import audit_batches, feature_error, pad_batches, with_widths
 from turnledger.operators.continuation import append_only, continued, restored, shared_prefix
 from turnledger.operators.ranking import ranked
 from turnledger.operators.rounds import bijection, changed_arrays, group_rewards, handoff_violations, leaked_prompts, normalised_rewards, sample_violations
@@ -68,9 +68,11 @@ def feature_checks(spark: SparkSession, folder: str) -> DataFrame:
 def _batches(spark: SparkSession, folder: str) -> DataFrame:
     good = table(spark, folder, "features").where(feature_error(F.col("input_ids"), F.col("labels")).isNull()).dropDuplicates(["feature_id"])
     runs = table(spark, folder, "run_result").groupBy("run_id").agg(F.max("batch_size").alias("batch_size"), F.max("pad_token_id").alias("pad")).where(F.col("batch_size") > 0)
-    narrow = ranked(good.select("run_id", "feature_id"), within=["run_id"], order=["feature_id"]).join(runs, "run_id")
-    placed = narrow.select("feature_id", "pad", F.floor(F.col("position") / F.col("batch_size")).alias("batch_no"))
-    return pad_batches(good.join(placed, "feature_id").select("run_id", "batch_no", "feature_id", "pad", "input_ids", "labels"), batch=["run_id", "batch_no"], pad=F.col("pad"))
+    narrow = ranked(good.select("run_id", "feature_id", F.size("input_ids").alias("size")), within=["run_id"], order=["feature_id"]).join(runs, "run_id")
+    placed = narrow.select("run_id", "feature_id", "pad", "size", F.floor(F.col("position") / F.col("batch_size")).alias("batch_no"))
+    # widths come from sizes, so that the tokens move once, to their place
+    placed = with_widths(placed, batch=["run_id", "batch_no"]).select("feature_id", "pad", "batch_no", "width")
+    return pad_batches(good.join(placed, "feature_id").select("run_id", "batch_no", "feature_id", "pad", "width", "input_ids", "labels"), batch=["run_id", "batch_no"], pad=F.col("pad"))
 
 
 def batch_padding(spark: SparkSession, folder: str) -> DataFrame:
