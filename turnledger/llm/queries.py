@@ -170,10 +170,10 @@ m AS (SELECT DISTINCT h.index AS held, h.split, h.source, t.index AS train
 ORACLE = {
     "p2_found": f"WITH {_SPANS} SELECT * FROM f",
     "p2_shares": f"""WITH {_SPANS},
-n AS (SELECT trace_id, sequence, array_name, max(len(v)) AS n_tokens FROM a WHERE v IS NOT NULL GROUP BY ALL),
+z AS (SELECT trace_id, sequence, array_name, max(len(v)) AS n_tokens FROM a WHERE v IS NOT NULL GROUP BY ALL),
 w AS (SELECT trace_id, sequence, array_name, CAST(sum(span_end - span_start) AS BIGINT) AS shared, count(*) AS n FROM f GROUP BY ALL)
-SELECT n.trace_id, n.sequence, n.array_name, n_tokens, coalesce(shared, 0) AS shared_tokens, coalesce(w.n, 0) AS n_spans, CASE WHEN n_tokens > 0 THEN coalesce(shared, 0) / n_tokens END AS share
-FROM n LEFT JOIN w ON w.trace_id IS NOT DISTINCT FROM n.trace_id AND w.sequence IS NOT DISTINCT FROM n.sequence AND w.array_name = n.array_name""",
+SELECT z.trace_id, z.sequence, z.array_name, n_tokens, coalesce(shared, 0) AS shared_tokens, coalesce(w.n, 0) AS n_spans, CASE WHEN n_tokens > 0 THEN coalesce(shared, 0) / n_tokens END AS share
+FROM z LEFT JOIN w ON w.trace_id IS NOT DISTINCT FROM z.trace_id AND w.sequence IS NOT DISTINCT FROM z.sequence AND w.array_name = z.array_name""",
     "p3_checks": """
 WITH f AS (SELECT feature_id, min(struct_pack(r := run_id, n := len(input_ids))) AS f FROM features WHERE len(input_ids) > 0 AND len(labels) = len(input_ids) GROUP BY feature_id),
 w AS (SELECT run_id, max(width) AS w FROM run_result GROUP BY run_id HAVING max(width) > 0)
