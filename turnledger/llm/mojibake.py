@@ -85,8 +85,9 @@ def _byte_maps() -> dict[str, dict[str, int]]:
     return maps
 
 
-def _single_byte_maps() -> dict[str, list[tuple[str, dict[int, str | None]]]]:
-    """read as, to written in and its translation; None where the byte means nothing in the encoding it was written in."""
+def _single_byte_maps() -> dict[str, list[tuple[str, dict[int, str | None], frozenset[str]]]]:
+    """read as, to written in, its translation (None where the byte means nothing in the encoding it was written in), and
+    the characters without one."""
     out: dict[str, list] = {}
     seen = set()
     for read in READ_AS:
@@ -100,7 +101,7 @@ def _single_byte_maps() -> dict[str, list[tuple[str, dict[int, str | None]]]]:
             if all(t == chr(c) for c, t in table.items()) or (key := tuple(sorted(table.items()))) in seen:
                 continue
             seen.add(key)
-            out.setdefault(read, []).append((written, table))
+            out.setdefault(read, []).append((written, table, frozenset(chr(c) for c, t in table.items() if t is None)))
     return out
 
 
@@ -318,8 +319,8 @@ def other_mappings(segment: str) -> Iterator[tuple[tuple[str, str], str]]:
     for read, tables in _SINGLE.items():
         if own.isdisjoint(_BYTES[read]):
             continue
-        for written, table in tables:
-            if not any(table.get(ord(c), "") is None for c in own) and (new := segment.translate(table)) != segment:
+        for written, table, nothing in tables:
+            if own.isdisjoint(nothing) and (new := segment.translate(table)) != segment:
                 yield (read, written), new
 
 
@@ -391,47 +392,52 @@ class Restorer:
                 self.tried[key] = got
         return got
 
-    def _tried(self, text: str, stretches: list[tuple[int, int]]) -> tuple[dict, dict]:
-        """Per mapping what it gains and the places it changes, and what it costs in other stretches."""
-        gained: dict[tuple[str, str], tuple[float, list]] = {}
-        lost: dict[tuple[str, str], float] = {}
+    def _tried(self, text: str, stretches: list[tuple[int, int]]) -> tuple[dict, list[dict]]:
+        """Per mapping what it gains and the places it changes; and per stretch what other mappings cost."""
+        gained: dict[tuple[str, str], list] = {}
+        lost = []
         for a, b in stretches:
             before, after = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
             gains, costs = self._gains(before, text[a:b], after)
-            for pair, cost in costs.items():
-                lost[pair] = lost.get(pair, 0.0) + cost
+            lost.append(costs)
             for pair, gain, new in gains:
-                sum_, places = gained.get(pair, (0.0, []))
-                gained[pair] = sum_ + gain, [*places, (a, b, new)]
+                own = gained.setdefault(pair, [0.0, []])
+                own[0] += gain
+                own[1].append((a, b, new))
         return gained, lost
 
     def once(self, text: str) -> tuple[str, tuple[str, str] | None, float]:
         """The text with the mapping undone that gains most, that mapping, and the gain."""
         found: dict[tuple[str, str], _Evidence] = {}
-        against = []
+        against: list[tuple[dict, list[dict], dict]] = []
         for island, stretches in self.segments(text):
             gains, costs = self._tried(text, stretches)
+            more: list[dict] = []
             if stretches != [island]:
                 whole, more = self._tried(text, [island])
-                for pair, (gain, places) in whole.items():
-                    if pair not in gains or gain > gains[pair][0] + costs.get(pair, 0.0):
-                        gains[pair] = gain, places
-                        costs.pop(pair, None)
-                for pair, cost in more.items():
-                    if pair not in gains:
-                        costs.setdefault(pair, cost)
-            against.append(costs)
-            for pair, (gain, places) in gains.items():
+                for pair, own in whole.items():
+                    if pair not in gains or own[0] > gains[pair][0] + sum(c.get(pair, 0.0) for c in costs):
+                        gains[pair] = [*own, True]
+            against.append((gains, costs, more))
+            for pair, own in gains.items():
                 e = found.get(pair)
                 if e is None:
                     e = found[pair] = _Evidence()
-                e.gain += gain
+                e.gain += own[0]
                 e.islands += 1
-                e.places += places
+                e.places += own[1]
         good = {p: e for p, e in found.items() if e.holds(p, text)}
         if not good:
             return text, None, 0.0
-        pair = max(good, key=lambda p: good[p].gain + sum(costs.get(p, 0.0) for costs in against))
+
+        def cost(pair: tuple[str, str], gains: dict, costs: list[dict], more: list[dict]) -> float:
+            """What a mapping costs in the stretches of an island that it does not explain, or in the island."""
+            if pair in gains and len(gains[pair]) > 2:
+                return 0.0
+            own = [c[pair] for c in costs if pair in c]
+            return sum(own) if own or pair in gains else sum(c.get(pair, 0.0) for c in more)
+
+        pair = max(good, key=lambda p: good[p].gain + sum(cost(p, *island) for island in against))
         out, at = [], 0
         for a, b, new in good[pair].places:
             out += [text[at:a], new]
