@@ -39,3 +39,17 @@ def test_manifests(spark):
     m = spark.createDataFrame([("r", {"a": 1, "b": 2}), ("r", {"a": 3}), ("q", None)], "run string, m map<string,int>")
     assert [r["closed"] for r in same_keys(m, column="m", expected=["b", "a"]).collect()] == [True, False, False]
     assert {(r["run"], r["name"]): r["total"] for r in summed_maps(m, by=["run"], column="m").collect()} == {("r", "a"): 4, ("r", "b"): 2}
+
+
+def test_runs_and_their_arguments(spark):
+    from turnledger.operators.manifests import argument_error, run_error
+
+    good = ([0, 0], False, {"a": "1", "b": "2"}, {"b": "2", "a": "1"}, "end", 4, None, "cpu", True)
+    change = lambda i, v: tuple(v if k == i else x for k, x in enumerate(good))
+    rows = [good, change(0, [0, 1]), change(0, []), change(0, None), change(0, [None]), change(1, True), change(1, None), change(2, {"a": "1"}), change(2, None), change(4, ""), change(4, None)]
+    rows += [change(5, 0), change(5, None), change(6, 5), change(6, 4), change(7, "tpu"), change(7, "cuda:1"), change(8, None)]
+    schema = "exit_codes array<int>, oom boolean, config map<string,string>, expected map<string,string>, marker string, steps int, stop_after int, device string, same boolean"
+    df = spark.createDataFrame(rows, schema).select(run_error().alias("run"), argument_error(F.col("steps"), F.col("stop_after"), F.col("device"), F.col("same")).alias("arguments"))
+    got = [tuple(r) for r in df.collect()]
+    assert [r for r, _ in got] == [None] + ["exit_code"] * 4 + ["out_of_memory"] * 2 + ["config"] * 2 + ["marker"] * 2 + [None] * 7
+    assert [a for _, a in got] == [None] * 11 + ["steps"] * 2 + ["stop_after", None, "device", None, "tokenizer"]
