@@ -13,17 +13,18 @@ from turnledger.streaming.admission import EVENTS, replayed
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     """Every generation record as a request and its response at once, and each trace's end with the owner's count of
     requests, too high for traces of an even number. Some requests stream, carry a foreign bearer or name another
-    session, some handlers fail, by remainders of the sequence."""
+    session, some handlers fail, by remainders of the sequence, in traces whose name's length is a multiple of four."""
     made = table(spark, folder, "trace").where(F.col("record_type") == "generation").dropDuplicates(["trace_id", "sequence"])
     n = F.col("sequence")
-    some = lambda k, r, yes, no: F.when(n % k == r, yes).otherwise(no)
+    hit = lambda k, r: (n % k == r) & (F.length("trace_id") % 4 == 0)
+    some = lambda k, r, yes, no: F.when(hit(k, r), yes).otherwise(no)
     none = F.lit(None)
     request = {
         "event_no": 2 * n, "kind": F.lit("request"), "request_id": n.cast("string"), **{c: F.col(c) for c in ("session_id", "branch_id", "turn_id", "parent_turn_id")}, "metadata_session": some(41, 7, F.lit("other"), F.col("session_id")),
-        "contract_mode": F.col("contract.mode"), "streaming": n % 37 == 5, "bearer": some(43, 6, F.lit("else"), none),
+        "contract_mode": F.col("contract.mode"), "streaming": hit(37, 5), "bearer": some(43, 6, F.lit("else"), none),
     }
     response = {
-        "event_no": 2 * n + 1, "kind": F.lit("response"), "request_id": n.cast("string"), "status": F.when(n % 31 == 4, none).when(n % 29 == 3, 500).otherwise(200), "calls": some(23, 2, 2, 1), "captured": F.lit(1),
+        "event_no": 2 * n + 1, "kind": F.lit("response"), "request_id": n.cast("string"), "status": F.when(hit(31, 4), none).when(hit(29, 3), 500).otherwise(200), "calls": some(23, 2, 2, 1), "captured": F.lit(1),
         "input_ids": F.col("input_ids"), "output_ids": F.col("output_ids"),
     }
     end = made.groupBy("trace_id").agg(F.max("sequence").alias("last"), F.count("*").alias("n"))
@@ -52,15 +53,15 @@ QUERIES = {"capture_admission": capture_admission, "admission_outcomes": admissi
 
 # one record of every trace a step; the state is what was admitted and what was completed
 _WALK = r"""
-g AS (SELECT DISTINCT ON (trace_id, sequence) * FROM trace WHERE record_type = 'generation'),
+g AS (SELECT DISTINCT ON (trace_id, sequence) *, CASE WHEN length(trace_id) % 4 = 0 THEN sequence ELSE 0 END AS d FROM trace WHERE record_type = 'generation'),
 q AS (SELECT trace_id, sequence AS n, row_number() OVER (PARTITION BY trace_id ORDER BY sequence) AS i, to_json([session_id, branch_id, turn_id]) AS k, CASE WHEN parent_turn_id IS NOT NULL THEN to_json([session_id, branch_id, parent_turn_id]) END AS p,
   CASE WHEN NOT coalesce(regexp_full_match(session_id, '[A-Za-z0-9_.-]{1,128}') AND regexp_full_match(branch_id, '[A-Za-z0-9_.-]{1,128}') AND regexp_full_match(turn_id, '[A-Za-z0-9_.-]{1,128}'), false)
-      OR NOT coalesce(regexp_full_match(parent_turn_id, '[A-Za-z0-9_.-]{1,128}'), true) OR (sequence % 41 = 7 AND session_id IS DISTINCT FROM 'other') OR coalesce(parent_turn_id = turn_id, false)
+      OR NOT coalesce(regexp_full_match(parent_turn_id, '[A-Za-z0-9_.-]{1,128}'), true) OR (d % 41 = 7 AND session_id IS DISTINCT FROM 'other') OR coalesce(parent_turn_id = turn_id, false)
       OR NOT coalesce(contract.mode IN ('unknown', 'append_only', 'history_rewrite'), true) THEN 'http_context_invalid'
-    WHEN sequence % 37 = 5 THEN 'http_stream_unsupported' WHEN sequence % 43 = 6 AND session_id <> 'else' THEN 'http_session_auth_mismatch' END AS refused,
-  CASE WHEN sequence % 31 = 4 THEN 'http_handler_failed_or_cancelled' WHEN sequence % 29 = 3 THEN 'http_unsuccessful_response'
+    WHEN d % 37 = 5 THEN 'http_stream_unsupported' WHEN d % 43 = 6 AND session_id <> 'else' THEN 'http_session_auth_mismatch' END AS refused,
+  CASE WHEN d % 31 = 4 THEN 'http_handler_failed_or_cancelled' WHEN d % 29 = 3 THEN 'http_unsuccessful_response'
     WHEN input_ids IS NULL OR len(list_filter(input_ids, lambda v: v IS NULL)) > 0 OR coalesce(len(output_ids), 0) = 0 OR len(list_filter(output_ids, lambda v: v IS NULL OR v < 0)) > 0 THEN 'turn_record_capture_failed'
-    WHEN sequence % 23 = 2 THEN 'http_callback_coverage_mismatch' ELSE 'generation' END AS outcome FROM g),
+    WHEN d % 23 = 2 THEN 'http_callback_coverage_mismatch' ELSE 'generation' END AS outcome FROM g),
 w AS (
   SELECT trace_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS what, [] :: VARCHAR[] AS admitted, [] :: VARCHAR[] AS done FROM q GROUP BY trace_id
   UNION ALL
@@ -72,7 +73,7 @@ t AS (SELECT trace_id, max(n) AS last, count(*) AS n, count(*) FILTER (what = 'g
 r AS (
   SELECT trace_id, CASE WHEN early THEN 2 * n ELSE 2 * n + 1 END AS event_no, CASE WHEN what = 'generation' THEN 'generation' ELSE 'capture_gap' END AS record_type, CASE WHEN what <> 'generation' THEN what END AS reason,
     CASE WHEN what IN ('http_duplicate_turn', 'http_parent_not_completed') THEN 409 WHEN early THEN 422 WHEN what = 'http_handler_failed_or_cancelled' THEN NULL WHEN what = 'http_unsuccessful_response' THEN 500 ELSE 200 END AS reply,
-    NULL AS expected_generations, NULL AS generations, NULL AS capture_gaps FROM o
+    NULL::BIGINT AS expected_generations, NULL::BIGINT AS generations, NULL::BIGINT AS capture_gaps FROM o
   UNION ALL SELECT trace_id, 2 * last + 2, 'capture_gap', 'http_request_count_mismatch', NULL, NULL, NULL, NULL FROM t WHERE n % 2 = 0
   UNION ALL SELECT trace_id, 2 * last + 2, 'capture_complete', NULL, NULL, succeeded, made, gaps FROM t WHERE n % 2 <> 0 AND gaps = 0),
 x AS (SELECT trace_id, event_no, record_type, reason, reply, row_number() OVER (PARTITION BY trace_id ORDER BY event_no) - 1 AS sequence, expected_generations, generations, capture_gaps FROM r
